@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import ship
+
 #: At most this many 8-byte keys are broadcast (32 MB); a larger table goes through a shuffled join.
 BROADCAST_KEYS = 2_000_000
 
@@ -65,4 +67,5 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
             elif out is not None:
                 yield from out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
