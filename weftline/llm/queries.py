@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import piece_codec, token_counts, url_filter
+from weftline.llm import piece_codec, token_counts, token_files, url_filter
 from weftline.llm.common import table
 from weftline.llm.quality import quality_report
 
@@ -18,6 +18,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.default_labelled(), URL_RULES)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum in the token files."""
+    return token_files.token_file_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's piece ids, and whether they decode to its text."""
     return piece_codec.encode_and_check(table(spark, sf_dir, "documents"))
@@ -34,7 +39,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op7_sentencepiece, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op2_url_filters, op6_token_files, op7_sentencepiece, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
