@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import piece_codec, token_counts, token_files, url_filter
+from weftline.llm import decontaminate, licences, piece_codec, token_counts, token_files, url_filter
 from weftline.llm.common import table
 from weftline.llm.quality import quality_report
 
@@ -18,6 +18,16 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.default_labelled(), URL_RULES)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's canonical digest and licence."""
+    return licences.licence_matches(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum in the token files."""
     return token_files.token_file_digest(table(spark, sf_dir, "documents"))
@@ -39,8 +49,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op6_token_files, op7_sentencepiece, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op2_url_filters, op3_decontamination, op4_license_scan, op6_token_files, op7_sentencepiece, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": decontaminate.oracle(), "op4_license_scan": licences.oracle()}
