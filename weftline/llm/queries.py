@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, licences, piece_codec, token_counts, token_files, url_filter
+from weftline.llm import decontaminate, licences, piece_codec, token_counts, token_files, toxicity, url_filter
 from weftline.llm.common import table
 from weftline.llm.quality import quality_report
 
@@ -28,6 +28,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_matches(table(spark, sf_dir, "documents"), licences.known_licences(spark))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score, learnt from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum in the token files."""
     return token_files.token_file_digest(table(spark, sf_dir, "documents"))
@@ -49,7 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op3_decontamination, op4_license_scan, op6_token_files, op7_sentencepiece, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op2_url_filters, op3_decontamination, op4_license_scan, op5_toxicity, op6_token_files, op7_sentencepiece, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
