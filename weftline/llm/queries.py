@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, licences, piece_codec, token_counts, token_files, toxicity, url_filter
+from weftline.llm import class_lm, decontaminate, licences, piece_codec, token_counts, token_files, toxicity, url_filter
 from weftline.llm.common import table
 from weftline.llm.quality import quality_report
 
@@ -44,6 +44,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_and_check(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability by the class model, and by the add-one base."""
+    return class_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
     return quality_report(table(spark, sf_dir, "documents"))
@@ -55,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op3_decontamination, op4_license_scan, op5_toxicity, op6_token_files, op7_sentencepiece, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op2_url_filters, op3_decontamination, op4_license_scan, op5_toxicity, op6_token_files, op7_sentencepiece, op8_lm_scores, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
