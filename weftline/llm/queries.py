@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import class_lm, decontaminate, licences, piece_codec, token_counts, token_files, toxicity, url_filter
+from weftline.llm import class_lm, decontaminate, licences, parity_join, piece_codec, token_counts, token_files, toxicity, url_filter
 from weftline.llm.common import table
 from weftline.llm.quality import quality_report
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count and component at a Jaccard similarity of 0.9 or more over three-word shingles."""
+    return parity_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.default_labelled(), URL_RULES)
@@ -60,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op3_decontamination, op4_license_scan, op5_toxicity, op6_token_files, op7_sentencepiece, op8_lm_scores, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_url_filters, op3_decontamination, op4_license_scan, op5_toxicity, op6_token_files, op7_sentencepiece, op8_lm_scores, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
