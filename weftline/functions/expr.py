@@ -1,0 +1,188 @@
+"""Scalar expressions shared by the operators, all built-in columns: ratios, intervals, hashes, canonical JSON, text classes."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: The 97.5 % point of the normal distribution, a fixed value.
+Z95 = 1.959963984540054
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null for an empty denominator."""
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
+    """Bounds of the Wilson interval, clipped to [0, 1]; null without observations (A5)."""
+    p, count = ratio(successes, n), n.cast("double")
+    d = 1 + F.try_divide(F.lit(z * z), count)
+    centre = (p + F.try_divide(F.lit(z * z), 2 * count)) / d
+    reach = F.lit(z) * F.sqrt(F.try_divide(p * (1 - p), count) + F.try_divide(F.lit(z * z), 4 * count * count)) / d
+    return F.greatest(F.lit(0.0), centre - reach), F.least(F.lit(1.0), centre + reach)
+
+
+def flag(c: Column) -> Column:
+    """A boolean as 0 or 1, null as 0."""
+    return F.coalesce(c, F.lit(False)).cast("long")
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def nonblank(text: Column) -> Column:
+    return F.coalesce(strip(text) != "", F.lit(False))
+
+
+def hash_int(text: Column, digits: int = 12) -> Column:
+    """The first hex digits of SHA-256 as an integer (up to 15 digits fit)."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, digits), 16, 10).cast("long")
+
+
+def hash_unit(text: Column) -> Column:
+    """MD5's first 32 bits as a fraction of 2**32."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+
+
+def sigmoid(v: Column) -> Column:
+    """The logistic function in two branches, so neither overflows."""
+    return F.when(v >= 0, 1 / (1 + F.exp(-v))).otherwise(F.exp(v) / (1 + F.exp(v)))
+
+
+def log_sum_exp(values: Column) -> Column:
+    """ln of the sum of exponentials of an array, shifted by its maximum."""
+    top = F.array_max(values)
+    return top + F.ln(F.aggregate(F.transform(values, lambda v: F.exp(v - top)), F.lit(0.0), lambda a, b: a + b))
+
+
+def same_action(a: Column, b: Column) -> Column:
+    """Labels agree: one decision, one set of ids, one reason, where ambiguous and insufficient_context count as one."""
+    intent = lambda r: F.when(r.isin("ambiguous", "insufficient_context"), "missing_intent").otherwise(F.coalesce(r, F.lit("")))
+    return (a["decision"] == b["decision"]) & (F.array_sort(a["acceptable_ids"]) == F.array_sort(b["acceptable_ids"])) & (intent(a["abstain_reason"]) == intent(b["abstain_reason"]))
+
+
+def action_bucket(decision: Column, reason: Column) -> Column:
+    """select, no_match or missing_intent."""
+    return F.when(decision == "select", "select").when(reason == "no_match", "no_match").otherwise("missing_intent")
+
+
+def count_bucket(n: Column) -> Column:
+    """The candidate-count bucket."""
+    return F.when(n <= 1, "1").when(n <= 4, "2-4").when(n <= 10, "5-10").otherwise("11-20")
+
+
+def canonical_json(struct: Column) -> Column:
+    """Compact JSON with nulls, of a struct whose fields stand in ASCII order; control characters are escaped in lower case."""
+    text = F.to_json(struct, {"ignoreNullFields": "false"})
+    for code in (*range(0x00, 0x08), 0x0B, *range(0x0E, 0x20)):
+        if f"{code:04X}" != f"{code:04x}":
+            text = F.replace(text, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
+    return text
+
+
+def visible_body(context: Column, entries: Column, with_ids: bool) -> Column:
+    """What a reader of an episode sees, as canonical JSON: with entry ids and order, or without both."""
+    if with_ids:
+        return canonical_json(F.struct(context.alias("context"), entries.alias("entries")))
+    parts = F.array_sort(F.transform(entries, lambda e: canonical_json(e.dropFields("id"))))
+    return F.concat(F.lit('{"context":'), canonical_json(context), F.lit(',"entries":['), F.array_join(parts, ","), F.lit("]}"))
+
+
+def content_fingerprint(context: Column, entries: Column) -> Column:
+    """SHA-256 of the visible content, whatever the entries' ids and order."""
+    return F.sha2(visible_body(context, entries, False), 256)
+
+
+def visible_sha256(context: Column, entries: Column) -> Column:
+    return F.sha2(visible_body(context, entries, True), 256)
+
+
+# Fixed values of the text classes (P20).
+COMMAND_STARTS = ("$ ", "git ", "sudo ", "npm ", "npx ", "brew ", "python ", "python3 ", "curl ", "swift ", "cd ", "ls ", "ssh ", "docker ", "make ", "xcodebuild ")
+CODE_STARTS = ("import ", "func ", "let ", "const ", "def ", "class ", "struct ", "SELECT ", "#!/")
+
+
+def text_kind(text: Column) -> Column:
+    """color, email, url, phone, command, code or text; the first that fits. A URL is a known scheme followed by no white space."""
+    t = strip(text)
+    starts = lambda xs: F.exists(F.array(*map(F.lit, xs)), lambda x: F.startswith(t, x))
+    return (
+        F.when(t.rlike("^#[0-9a-fA-F]{3,8}$"), "color")
+        .when(t.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), "email")
+        .when(t.rlike(r"(?i)^((https?|ftp)://|mailto:)\S+$"), "url")
+        .when(t.rlike("^[+()0-9 .-]{7,25}$") & (F.length(F.regexp_replace(t, "[^0-9]", "")) >= 7), "phone")
+        .when(starts(COMMAND_STARTS), "command")
+        .when(starts(CODE_STARTS) | (F.contains(t, F.lit("\n")) & (F.contains(t, F.lit("{")) | F.contains(t, F.lit("=>")))), "code")
+        .otherwise("text")
+    )
+
+
+#: Fixed patterns of the input surfaces (P21), in order.
+SURFACES = (
+    ("recipient", r"^(?:to|cc|bcc|recipient|recipients|收件人|抄送|密送)(?:\b|$)"),
+    ("address_bar", "address bar|location bar|地址栏|网址栏"),
+    ("search", r"^(?:search|find|搜索|查找)(?:\b|$)"),
+    ("shell_prompt", "shell prompt|terminal prompt|终端命令"),
+    ("code_editor", "code editor|source editor|代码编辑"),
+    ("chat_composer", "message composer|chat input|聊天输入|消息输入"),
+    ("color", r"^(?:hex color|color value|颜色值|色值)$"),
+    ("file_path", r"^(?:file path|folder path|文件路径|目录路径)$"),
+)
+
+
+def input_surface(label: Column, role: Column) -> Column:
+    """The surface of a labelled field; text for plain text roles, else unknown."""
+    out = F.when(role.isin("AXTextField", "AXTextArea", "AXComboBox"), "text").otherwise("unknown")
+    for name, pattern in reversed(SURFACES):
+        out = F.when(F.coalesce(label, F.lit("")).rlike(f"(?iu){pattern}"), name).otherwise(out)
+    return out
+
+
+def category_by_prefix(bundle: Column, groups: dict[str, str], default: str = "other") -> Column:
+    """The category of the longest listed prefix that an application's identifier has."""
+    out = F.lit(default)
+    for prefix in sorted(groups, key=lambda p: (len(p), p)):
+        out = F.when(F.startswith(bundle, F.lit(prefix)), groups[prefix]).otherwise(out)
+    return out
+
+
+def utf16_length(text: Column) -> Column:
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+def utf16_substring(text: Column, start: Column, length: Column) -> Column:
+    """A range of UTF-16 units; null where it splits a surrogate pair or leaves the text."""
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    at = lambda p: F.substring(units, p * 4 + 1, F.lit(4))
+    low = lambda p: at(p).rlike("^D[C-F]")
+    whole = (start >= 0) & (length >= 0) & (start + length <= utf16_length(text)) & ~low(start) & ~low(start + length)
+    return F.when(whole, F.decode(F.unhex(F.substring(units, start * 4 + 1, length * 4)), "UTF-16BE"))
+
+
+def request_failure(status: Column, body: Column) -> Column:
+    """Reason of a failed request by status and message."""
+    b = F.lower(F.coalesce(body, F.lit("")))
+    return (
+        F.when(status.isin(401, 403), "authentication")
+        .when((status == 429) | b.rlike(r"\b429\b|rate.?limit|too many requests"), "rate_limit")
+        .when(b.rlike("quota|insufficient balance|billing"), "quota")
+        .when(status >= 500, "server_error")
+        .when(status.isNull(), "network")
+        .otherwise("request_error")
+    )
+
+
+def retry_seconds(message: Column) -> Column:
+    """Seconds until a limit resets, from texts like 'reset in 2 minutes' (P32)."""
+    n = F.regexp_extract(message, r"(?i)reset in (\d+(?:\.\d+)?)\s*(second|minute|hour)", 1)
+    unit = F.lower(F.regexp_extract(message, r"(?i)reset in (\d+(?:\.\d+)?)\s*(second|minute|hour)", 2))
+    scale = F.when(unit == "second", 1).when(unit == "minute", 60).when(unit == "hour", 3600)
+    return F.when(n != "", n.cast("double") * scale)
+
+
+def known_usage(*counters: Column) -> Column:
+    """True where some counter is known and not all are 0; all-zero usage is unknown."""
+    return F.coalesce(F.greatest(*counters), F.lit(0)) > 0
