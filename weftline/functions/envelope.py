@@ -1,7 +1,7 @@
 """The focus envelope: JSON inside a context's surrounding text, valid only with its exact keys and types.
 
 A strict check (keys, tag, types) decides what counts as an envelope in gates and features; a looser one (tag and parseable JSON)
-serves the difficulty profile. The two differ on purpose.
+serves the difficulty profile. The two differ on purpose. The format tag is a parameter of every function.
 """
 
 from __future__ import annotations
@@ -49,10 +49,10 @@ def has_semantic_context(label: Column, selected: Column, surrounding: Column) -
 
 
 def duplicated_boundary(selected: Column, surrounding: Column) -> Column:
-    """A known selection whose text also ends what is before it or begins what is after it."""
-    e, s = parsed(surrounding), strip(selected)
-    twice = F.endswith(strip(e["beforeSelection"]), s) | F.startswith(strip(e["afterSelection"]), s)
-    return F.coalesce(is_valid(surrounding) & e["selectionKnown"] & (s != "") & twice, F.lit(False))
+    """A known selection that stands again, alone, as the text before or after itself."""
+    e = parsed(surrounding)
+    before, after = (e["beforeSelection"] == selected) & (e["afterSelection"] == ""), (e["afterSelection"] == selected) & (e["beforeSelection"] == "")
+    return F.coalesce((selected != "") & is_loose(surrounding) & e["selectionKnown"] & (before | after), F.lit(False))
 
 
 def render(known: Column, before: Column, after: Column, window: Column, nearby: Column, tag: str = FORMAT) -> Column:

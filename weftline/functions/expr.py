@@ -141,11 +141,29 @@ def input_surface(label: Column, role: Column) -> Column:
     return out
 
 
-def category_by_prefix(bundle: Column, groups: dict[str, str], default: str = "other") -> Column:
-    """The category of the longest listed prefix that an application's identifier has."""
-    out = F.lit(default)
-    for prefix in sorted(groups, key=lambda p: (len(p), p)):
-        out = F.when(F.startswith(bundle, F.lit(prefix)), groups[prefix]).otherwise(out)
+# Application identifiers by category (P22): fixed values. A name that ends in a dot is a prefix; another stands for itself and what follows it after a dot.
+APPLICATIONS = {
+    "browser": ("com.apple.safari", "com.google.chrome", "org.mozilla.firefox", "com.microsoft.edgemac", "company.thebrowser.browser", "com.brave.browser", "com.operasoftware.opera", "com.vivaldi.vivaldi"),
+    "development": ("com.apple.dt.xcode", "com.microsoft.vscode", "com.todesktop.230313mzl4w4u92", "dev.zed.zed", "com.jetbrains.", "com.sublimetext.", "com.panic.nova"),
+    "terminal": ("com.apple.terminal", "com.googlecode.iterm2", "com.mitchellh.ghostty", "dev.warp.warp-stable", "org.alacritty", "net.kovidgoyal.kitty"),
+    "mail": ("com.apple.mail", "com.microsoft.outlook", "com.readdle.smartemail-macos", "org.mozilla.thunderbird"),
+    "messaging": ("com.apple.ichat", "com.apple.mobilesms", "com.tinyspeck.slackmacgap", "com.tencent.xinwechat", "com.tencent.qq", "com.hnc.discord", "ru.keepcoder.telegram",
+                  "org.whispersystems.signal-desktop", "com.microsoft.teams2", "com.openai.chat", "com.anthropic.claudefordesktop"),
+    "writing": ("com.apple.notes", "com.apple.textedit", "com.apple.iwork.pages", "com.microsoft.word", "md.obsidian", "notion.id", "net.shinyfrog.bear", "abnerworks.typora"),
+    "spreadsheet": ("com.apple.iwork.numbers", "com.microsoft.excel"),
+    "creative": ("com.figma.desktop", "com.bohemiancoding.sketch3", "com.adobe.photoshop", "com.adobe.illustrator", "com.seriflabs.", "org.blenderfoundation.blender"),
+    "file_management": ("com.apple.finder", "com.binarynights.forklift", "com.cocoatech.pathfinder"),
+}
+
+
+def application_category(bundle: Column, groups: dict[str, tuple[str, ...]] = APPLICATIONS) -> Column:
+    """The first category that lists the application's identifier; unknown if none does."""
+    name, out = F.lower(bundle), F.lit("unknown")
+    for category in reversed(list(groups)):
+        exact = [x for x in groups[category] if not x.endswith(".")]
+        fronts = [x if x.endswith(".") else f"{x}." for x in groups[category]]
+        fits = name.isin(*exact) | F.exists(F.array(*map(F.lit, fronts)), lambda p: F.startswith(name, p))
+        out = F.when(fits, category).otherwise(out)
     return out
 
 
@@ -163,24 +181,52 @@ def utf16_substring(text: Column, start: Column, length: Column) -> Column:
 
 
 def request_failure(status: Column, body: Column) -> Column:
-    """Reason of a failed request by status and message."""
-    b = F.lower(F.coalesce(body, F.lit("")))
+    """Reason of a failed request by its status and message."""
+    m = F.lower(F.coalesce(body, F.lit("")))
+    quota = (
+        F.when(m.rlike("5-hour|5 hour|5h"), "quota_5h")
+        .when(m.rlike("weekly|7-day|7 day"), "quota_weekly")
+        .when(m.contains("month"), "quota_monthly")
+        .when(m.contains("concurrent"), "account_concurrent_restriction")
+        .when(m.rlike("quota|usage limit"), "quota_unknown_reset")
+        .otherwise("permission_denied")
+    )
     return (
-        F.when(status.isin(401, 403), "authentication")
-        .when((status == 429) | b.rlike(r"\b429\b|rate.?limit|too many requests"), "rate_limit")
-        .when(b.rlike("quota|insufficient balance|billing"), "quota")
-        .when(status >= 500, "server_error")
-        .when(status.isNull(), "network")
-        .otherwise("request_error")
+        F.when(status == 403, quota)
+        .when(status == 401, "authentication_or_model_entitlement")
+        .when(status == 402, "membership_status")
+        .when(status == 429, "short_term_rate_or_overload")
+        .otherwise("transient_http_error")
     )
 
 
-def retry_seconds(message: Column) -> Column:
-    """Seconds until a limit resets, from texts like 'reset in 2 minutes' (P32)."""
-    n = F.regexp_extract(message, r"(?i)reset in (\d+(?:\.\d+)?)\s*(second|minute|hour)", 1)
-    unit = F.lower(F.regexp_extract(message, r"(?i)reset in (\d+(?:\.\d+)?)\s*(second|minute|hour)", 2))
-    scale = F.when(unit == "second", 1).when(unit == "minute", 60).when(unit == "hour", 3600)
-    return F.when(n != "", n.cast("double") * scale)
+def failure_pause(reason: Column) -> Column:
+    """Seconds to wait after a failure; null where waiting doesn't help."""
+    hour = 3600
+    out = F.when(reason.isin("short_term_rate_or_overload", "transient_http_error"), 0)
+    for name, seconds in (("quota_5h", 5 * hour), ("quota_weekly", 7 * 24 * hour), ("quota_monthly", 31 * 24 * hour)):
+        out = out.when(reason == name, seconds)
+    return out
+
+
+def retry_after(value: Column, now: Column) -> Column:
+    """Seconds of a Retry-After header, a number or an HTTP date; never negative; null if it is neither."""
+    date = F.try_to_timestamp(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    return F.greatest(F.lit(0.0), F.coalesce(value.try_cast("double"), (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double")))
+
+
+def limit_signal(text: Column) -> Column:
+    """Whether an error text shows a rate limit: a bare 429, an explicit notice, or nothing."""
+    t = F.lower(text)
+    return F.when(t.rlike(r"\b429\b"), "error_contains_429").when(t.contains("reached free model rate limit"), "explicit_limit")
+
+
+def reset_countdown(text: Column) -> Column:
+    """The longest announced reset within a week, in seconds."""
+    t, pattern = F.lower(text), F.lit(r"\byour limit will reset in\s+(\d+)\s+(seconds?|minutes?|hours?)\b")
+    both = F.arrays_zip(F.regexp_extract_all(t, pattern, F.lit(1)).alias("n"), F.regexp_extract_all(t, pattern, F.lit(2)).alias("u"))
+    seconds = F.transform(both, lambda x: x["n"].cast("long") * F.when(F.startswith(x["u"], F.lit("second")), 1).when(F.startswith(x["u"], F.lit("minute")), 60).otherwise(3600))
+    return F.array_max(F.filter(seconds, lambda s: s <= 7 * 86400))
 
 
 def known_usage(*counters: Column) -> Column:

@@ -16,7 +16,9 @@ AUDIT = (
 CALIBRATOR = "mean array<double>, scale array<double>, coefficients array<double>, intercept double, threshold double, status string"
 
 #: Fixed values of the enumerations.
-KINDS = ("text", "url", "email", "phone", "color", "command", "code", "image", "file")
+KINDS = ("text", "url", "email", "code", "command", "phone", "file", "image", "color")
+CATEGORIES = ("browser", "development", "terminal", "mail", "messaging", "writing", "spreadsheet", "creative", "file_management", "unknown")
+SURFACES = ("unknown", "text", "recipient", "address_bar", "search", "shell_prompt", "code_editor", "chat_composer", "document", "cell", "color", "file_path", "phone")
 CAPABILITIES = ("text", "image", "file", "richText")
 ABSTAIN_REASONS = ("no_match", "ambiguous", "insufficient_context")
 FAILURES = ("inference_failure", "invalid_request", "remote_unavailable", "model_unavailable", "timeout", "worker_timeout", "error")
