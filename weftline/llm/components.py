@@ -14,37 +14,39 @@ from pyspark.sql import functions as F
 from weftline.llm.common import materialize, release
 
 
-def _flatten(parent: DataFrame) -> DataFrame:
+ROWS_PER_FILE = 500_000
+
+
+def _flatten(parent: DataFrame, parts: int) -> DataFrame:
     """(node, root) from (node, root) pointers to smaller nodes; root nodes have no row."""
     while True:
         up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = materialize(parent.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "jump")
-        moved = step.where("moved").limit(1).count()
+        step = parent.select("node", "root").join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+        step = materialize(step.coalesce(parts), "pointers")
         release(parent)
-        parent = materialize(step.select("node", "root"), "pointers")
-        release(step)
-        if not moved:
-            return parent
+        if not step.where("moved").limit(1).count():
+            return step
+        parent = step
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) for every id that occurs in the edges (a, b): label is the smallest id of its component. Materialized."""
     edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
+    labels, parts = None, 1 + edges.count() // ROWS_PER_FILE
     while True:
         both = edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("b").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("root"))
-        parent = _flatten(materialize(least.where("root < node"), "parents"))
-        every = least.select(F.col("node").alias("id")) if labels is None else labels.select("id", F.col("label").alias("node"))
+        parent = _flatten(materialize(least.where("root < node").coalesce(parts), "parents"), parts)
+        pointer = parent.select("node", "root")
         if labels is None:
-            new = every.join(parent.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("label"))
+            new = least.select(F.col("node").alias("id")).join(pointer.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("label"))
         else:
-            new = every.join(parent, "node", "left").select("id", F.coalesce("root", "node").alias("label"))
-        new = materialize(new, "labels")
-        up = parent.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        low = edges.join(up, "a", "left").select(F.coalesce("ra", "a").alias("a"), "b").join(up.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
-        low = low.select("a", F.coalesce("rb", "b").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        rest = materialize(low, "edges")
+            new = labels.select("id", F.col("label").alias("node")).join(pointer, "node", "left").select("id", F.coalesce("root", "node").alias("label"))
+        new = materialize(new.coalesce(parts), "labels")
+        low = edges.join(pointer.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
+        low = low.join(pointer.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").select("a", F.coalesce("rb", "b").alias("b"))
+        low = low.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = materialize(low.coalesce(parts), "edges")
         release(edges, parent, labels)
         edges, labels = rest, new
         if not edges.limit(1).count():

@@ -4,17 +4,19 @@ A document is the set of its distinct n-word shingles (A-Z lower-cased); two lin
 num / den. Then their symmetric difference is at most (a + b) * (den - num) / (den + num) for set sizes a and b. XOR-hashing the
 shingles into bit sketches keeps parities, so the Hamming distance of two sketches is at most that difference.
 
-Size bands hold sizes up to GROWTH times their least. In a band, sketches have one block more than the largest difference that
-a linked pair may have there, so such a pair agrees in a block (pigeonhole); a set also takes part in the next band if it could link
-there. A block's join key is a digest of what was XOR-ed into it. An empty block says little, so a set with one takes part in
-a further, independent sketch instead (up to FAMILIES). No link is lost, whatever the sizes.
+Size bands hold sizes up to GROWTH times their least. In a band, sketches have some more blocks than the largest difference k that
+a linked pair may have there, so such a pair agrees in at least blocks - k of them (pigeonhole); a set also takes part in the next band
+if it could link there. A block's join key is a digest of what was XOR-ed into it. Blocks without a rare shingle are weak: empty ones,
+and those made of passages that very many documents share (a bounded list, estimated on every SAMPLE-th document; any list gives the
+same links). Equal blocks are equally weak, so a set with fewer than blocks - k weak ones needs only its strong blocks as keys; any
+other takes part in a further, independent sketch, and in the last one with all blocks. No link is lost, whatever the sizes.
 
 Equal sets are one class (an aggregate), of which only a representative joins. Keys are sorted by ranges of (key, id), so a key
-of any frequency spreads over tasks, and one pass over the sorted rows gives groups with leaders. Rounds of verification follow: each
-member of a group is tried against one leader, by a folded sketch's Hamming distance and then by its exact set. What is linked is
-contracted to components; a group within one component is done. While the pairs left are many, other leaders are tried; at last all
-pairs of different components that share a key are verified. So no pairs within a group of copies are emitted, and no link between
-components is missed.
+of any frequency spreads over tasks, and one pass over the sorted rows gives groups with leaders. Each member of a group is tried
+against the leader that it shares most keys with, by a folded sketch's Hamming distance and then by its exact set. What is linked is
+contracted to components; a group within one component is done. While the pairs left are very many for the rows, other leaders are
+tried; at last all pairs of different components that share a key are compared by sketch, within the join, and by set if that passes.
+So pairs within a group of linked copies are never made, and no link between components is missed.
 
 Shingles are told apart by 64-bit hashes. Defined cases: null, empty and wordless texts have an empty set and link with nothing; a
 text with fewer words than n has its whole sequence as the one shingle. Rows that share an id are one node: they're in one component.
@@ -34,10 +36,11 @@ from weftline.llm.common import arrow_map, by_ids, materialize, release
 from weftline.llm.components import components
 from weftline.llm.spans import U64, Words, mix, shingle_sets, slices
 
-GROWTH, FAMILIES, FOLD = 1.6, 4, 8
-#: Rounds of leaders go on while more pairs than this, for each grouped row, are left to verify.
-PAIRS_PER_ROW, ROUNDS = 4, 8
-RANGE_ROWS = 2_000_000
+GROWTH, FAMILIES, FOLD = 1.4, 3, 16
+#: Shingles in COMMON_DOCS or more of every SAMPLE-th document are common; at most COMMON of them are listed.
+SAMPLE, COMMON_DOCS, COMMON = 32, 4, 1 << 17
+#: Rounds of leaders go on while more pairs than this, for each grouped row, are left to compare.
+PAIRS_PER_ROW, ROUNDS = 256, 8
 
 
 @lru_cache(maxsize=8)
@@ -69,37 +72,51 @@ def _digest_rows(raw: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, d1, d2, fold.reshape(n_docs, FOLD)
 
 
-def block_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of every sketch block that joins."""
+def band_blocks(edges: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of each band's sketch, and how many of them a linked pair agrees in at least."""
+    k = 2 * (edges[1:] - 1) * (den - num) // (den + num)
+    least = np.ceil(edges[:-1] * num / den)  # of the sets that take part
+    spare = 1 + np.where(k >= 4, np.ceil(2 * (k + 1) * np.exp(-least / (k + 1))), 0).astype(np.int64)
+    return k + spare, spare
+
+
+def block_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, key) of every sketch block that joins. common: sorted hashes of shingles that make no block strong."""
     edges = bands(int(size.max()) if len(size) else 1)
+    all_blocks, all_spare = band_blocks(edges, num, den)
     own = np.searchsorted(edges, size, "right") - 1
     some = np.flatnonzero(size > 0)
     upper = some[size[some] * den >= num * edges[own[some] + 1]]
     member, band = np.concatenate((some, upper)), np.concatenate((own[some], own[upper] + 1))
     first = np.concatenate(([0], np.cumsum(size)))
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
+    else:
+        rare = np.ones(len(h), bool)
     docs, keys = [], []
     for family in range(FAMILIES):
         if not len(member):
             break
-        blocks = 2 * (edges[band + 1] - 1) * (den - num) // (den + num) + 1
+        blocks = all_blocks[band]
         base = np.concatenate(([0], np.cumsum(blocks)))
         n = size[member]
         place = np.repeat(np.arange(len(member)), n)
-        x = h[np.arange(int(n.sum())) + np.repeat(first[member] - (np.cumsum(n) - n), n)]
-        x = mix(x ^ mix(np.full(1, family * 1000 + 7, U64)) ^ mix(band[place].astype(U64) + U64(1)))
+        source = np.arange(int(n.sum())) + np.repeat(first[member] - (np.cumsum(n) - n), n)
+        x = mix(h[source] ^ mix(np.full(1, family * 1000 + 7, U64)) ^ mix(band[place].astype(U64) + U64(1)))
         cell = base[place] + (x % blocks[place].astype(U64)).astype(np.int64)
-        sketch, filled = np.zeros(base[-1], U64), np.zeros(base[-1], bool)
+        sketch, strong = np.zeros(base[-1], U64), np.zeros(base[-1], bool)
         np.bitwise_xor.at(sketch, cell, mix(x))
-        filled[cell] = True
+        strong[cell[rare[source]]] = True
         of = np.repeat(np.arange(len(member)), blocks)
-        block = np.arange(base[-1]) - base[of]
-        with np.errstate(over="ignore"):
-            key = mix(sketch ^ mix(((band[of] * 8 + family).astype(U64) << U64(40)) + block.astype(U64)))
+        weak = blocks - np.bincount(of[strong], minlength=len(member))
         last = family == FAMILIES - 1
-        use = np.ones(len(key), bool) if last else filled
-        docs.append(member[of[use]])
-        keys.append(key[use])
-        again = np.unique(of[~filled])
+        use = np.ones(len(of), bool) if last else strong
+        at = of[use]
+        with np.errstate(over="ignore"):
+            label = ((band[at] * 8 + family).astype(U64) << U64(40)) + (np.flatnonzero(use) - base[at]).astype(U64)
+            keys.append(mix(sketch[use] ^ mix(label)))
+        docs.append(member[at])
+        again = weak >= all_spare[band]
         member, band = member[again], band[again]
     return (np.concatenate(docs), np.concatenate(keys)) if docs else (np.empty(0, np.int64), np.empty(0, U64))
 
@@ -166,13 +183,27 @@ class ParityJoin:
 
         return arrow_map(self.docs, run, "id long, n long, d1 long, d2 long, " + ", ".join(f"s{k} long" for k in range(FOLD)))
 
+    def common(self) -> np.ndarray:
+        """Hashes of shingles in many documents, by a sample; a bounded list that decides only which blocks make keys."""
+        n = self.n
+
+        def run(batch):
+            for _, _, raw, offs in slices(batch.column(0)):
+                k, c = np.unique(sets_of(raw, offs, n)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+
+        some = arrow_map(self.docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text"), run, "h long, c long")
+        many = some.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON_DOCS).orderBy(F.desc("c"), "h").limit(COMMON)
+        return np.sort(many.toArrow()["h"].to_numpy().view(U64))
+
     def keys(self, docs: DataFrame) -> DataFrame:
         n, num, den = self.n, self.num, self.den
+        shared = docs.sparkSession.sparkContext.broadcast(self.common())
 
         def run(batch):
             ids = batch.column(0).to_numpy()
             for lo, hi, raw, offs in slices(batch.column(1)):
-                doc, key = block_keys(*sets_of(raw, offs, n), num, den)
+                doc, key = block_keys(*sets_of(raw, offs, n), num, den, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[lo:hi][doc])], names=["key", "id"])
 
         return arrow_map(docs, run, "key long, id long")
@@ -212,15 +243,11 @@ class ParityJoin:
         sketch = sketch.select("id", "n", *(f"s{k}" for k in range(FOLD)))
         side = lambda x: sketch.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(FOLD)))
 
-        found, labels, done = [], None, False
+        found, labels, left = [], None, 0
         for turn in range(ROUNDS):
             if turn == 0:
                 tries = groups.where("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b"))
             else:
-                open_rows, left, rows = self._open(groups, labels)
-                if not left:
-                    done = True
-                    break
                 if left <= PAIRS_PER_ROW * rows:
                     break
                 lead = open_rows.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64("label", F.lit(turn))).alias("l"))
@@ -231,15 +258,16 @@ class ParityJoin:
             found.append(new)
             release(best, labels)
             labels = components(_union(found))
-        if not done:
             open_rows, left, rows = self._open(groups, labels)
-            if left:
-                x = open_rows.select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-                y = open_rows.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-                pairs = x.join(y, "key").where("la <> lb AND a < b").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-                pairs = materialize(pairs.where(_may_link(F.col("na"), F.col("nb"), self.num, self.den, _hamming("a", "b"))).select("a", "b").distinct(), "pairs")
-                found.append(self.verified(pairs))
-                release(pairs)
+        if left:
+            full = open_rows.join(sketch, "id")
+            half = lambda x: full.select("key", F.col("id").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(FOLD)))
+            near = _may_link(F.col("na"), F.col("nb"), self.num, self.den, _hamming("a", "b"))
+            x, y = half("a"), half("b").withColumnRenamed("key", "other")
+            on = (F.col("key") == F.col("other")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & near
+            pairs = materialize(x.join(y, on).select("a", "b").distinct(), "pairs")
+            found.append(self.verified(pairs))
+            release(pairs)
         release(groups, labels)
         return digests, _union(found)
 
