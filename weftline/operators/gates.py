@@ -74,7 +74,9 @@ def clip_pieces(text: pd.Series, budget: pd.Series, path: pd.Series) -> pd.Serie
     def one(t, n, p):
         if t is None:
             return None
-        lib = models.setdefault(p, None) or models.__setitem__(p, sentencepiece.SentencePieceProcessor(model_file=p)) or models[p]
+        if p not in models:
+            models[p] = sentencepiece.SentencePieceProcessor(model_file=p)
+        lib = models[p]
         ids = lib.encode(t)
         if len(ids) <= n:
             return t
