@@ -14,4 +14,4 @@ def spark(tmp_path_factory):
     from weftline.session import local_session
 
     shared = tmp_path_factory.mktemp("shared")
-    return local_session(4, 4, "4g", **{"spark.checkpoint.dir": f"file://{shared}", "spark.sql.warehouse.dir": f"file://{shared}/warehouse"})
+    return local_session(os.environ.get("TEST_CPUS", "4"), 4, "4g", **{"spark.checkpoint.dir": f"file://{shared}", "spark.sql.warehouse.dir": f"file://{shared}/warehouse"})

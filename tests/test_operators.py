@@ -238,3 +238,46 @@ def test_python_placement(spark):
 
 def test_updates():
     assert usage.updates(5000, 2, 16) == {"steps_per_epoch": 313, "steps": 626, "seen": 10000}
+
+
+def a_plan(**changes):
+    from weftline.plans import run_plan as R
+
+    d = {
+        "version": "run-plan-v1", "run_id": "r1", "split_targets": {"train": 200, "dev": 20, "calibration": 20, "test": 30}, "pilot_episodes": 50, "hardening": {"pool_episodes": 40, "review_nominations": 20, "accepted_new": 10, "retained_original": 50},
+        "training_seeds": R.SEEDS, "epochs": R.EPOCHS, "head_warmup_steps": 5, "effective_batch_episodes": 16, "family_partition_sha256": "a" * 64, "projection_provenance_sha256": "b" * 64, "teacher_contract_version": "t", "registration_reason": "x",
+        "registered_at": "now", "cost_evidence": [{"path": "reports/x.json", "sha256": "c" * 64}], "quality_gates": dict(R.GATES),
+    }
+    for k, v in changes.items():
+        d.pop(k) if v is None else d.update({k: v})
+    return json.dumps(d)
+
+
+def test_run_plan():
+    from weftline.plans import run_plan as R
+
+    p = R.parse(a_plan())
+    assert p.target("test") == 30 and p.binding()["run_plan_sha256"] == hashlib.sha256(a_plan().encode()).hexdigest()
+    bad = [{"run_id": None}, {"extra": 1}, {"run_id": "Bad Name"}, {"pilot_episodes": 201}, {"pilot_episodes": True}, {"diagnostic_episodes": 50}, {"training_seeds": [1]}, {"quality_gates": dict(R.GATES, top1_improvement=0.01)}, {"cost_evidence": []},
+           {"cost_evidence": [{"path": "../x", "sha256": "c" * 64}]}, {"family_partition_sha256": "A" * 64}, {"registered_at": " "}, {"hardening": {"pool_episodes": 5, "review_nominations": 20, "accepted_new": 10, "retained_original": 50}}, {"version": "other"}]
+    for change in bad:
+        with pytest.raises(R.PlanError):
+            R.parse(a_plan(**change))
+    with pytest.raises(R.PlanError):
+        R.parse(a_plan(), sources={"family_partition_sha256": "d" * 64})
+
+
+def test_drafts(spark):
+    from weftline.operators import drafts
+
+    e = spark.createDataFrame([(1, [("x", "a"), ("y", "b"), ("z", "c")])], "seed long, entries array<struct<id:string,text:string>>")
+    got = e.select(drafts.reidentified(F.col("entries"), F.col("seed")).alias("e")).first().e
+    assert [x.id for x in got] == ["c0", "c1", "c2"] and sorted(x.text for x in got) == ["a", "b", "c"]
+    context = ("unknown", "label", "", True, "code_editor", False, "", '{"format":"focus-text-v1","selectionKnown":true,"beforeSelection":"x = ","afterSelection":"","nearbyText":[]}')
+    schema = "context struct<applicationCategory:string,fieldLabel:string,fieldRole:string,hasAccessibility:boolean,inputSurface:string,isSecure:boolean,selectedText:string,surroundingText:string>, entries array<struct<id:string,text:string>>, label struct<abstain_reason:string,acceptable_ids:array<string>,decision:string>, family string"
+    rows = [(context, [("a", "1"), ("b", "(")], (None, [i], "select"), f) for i, f in (("a", "python_x"), ("b", "python_x"), ("b", "other"))]
+    df = spark.createDataFrame(rows, schema)
+    assert [r[0] for r in df.select(drafts.program_problem(F.col("context"), F.col("entries"), F.col("label"), F.col("family"))).collect()] == [None, "python_syntax", None]
+    assert [r[0] for r in df.select(gates.placement_problem(F.col("context"), F.col("entries"), F.col("label"), F.col("family"))).collect()] == [None, "python_syntax", None]
+    numbers = spark.range(10)
+    assert drafts.first_by_predicate(numbers, [("even", F.col("id") % 2 == 0), ("small", F.col("id") < 3)], [F.col("id")]) == [("even", 0), ("small", 1)]

@@ -20,7 +20,8 @@ def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column
     d = 1 + F.try_divide(F.lit(z * z), count)
     centre = (p + F.try_divide(F.lit(z * z), 2 * count)) / d
     reach = F.lit(z) * F.sqrt(F.try_divide(p * (1 - p), count) + F.try_divide(F.lit(z * z), 4 * count * count)) / d
-    return F.greatest(F.lit(0.0), centre - reach), F.least(F.lit(1.0), centre + reach)
+    some = p.isNotNull()
+    return F.when(some, F.greatest(F.lit(0.0), centre - reach)), F.when(some, F.least(F.lit(1.0), centre + reach))
 
 
 def flag(c: Column) -> Column:
@@ -212,7 +213,8 @@ def failure_pause(reason: Column) -> Column:
 def retry_after(value: Column, now: Column) -> Column:
     """Seconds of a Retry-After header, a number or an HTTP date; never negative; null if it is neither."""
     date = F.try_to_timestamp(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.greatest(F.lit(0.0), F.coalesce(value.try_cast("double"), (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double")))
+    seconds = F.coalesce(value.try_cast("double"), (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"))
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds))
 
 
 def limit_signal(text: Column) -> Column:

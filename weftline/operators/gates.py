@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import envelope as E
 from weftline.functions.expr import action_bucket, nonblank, same_action, strip
@@ -64,7 +65,7 @@ def clip_words(text: Column, budget: int) -> Column:
     return F.regexp_extract(text, rf"^(?:\s*\S+){{0,{budget}}}", 0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clip_pieces(text: pd.Series, budget: pd.Series, path: pd.Series) -> pd.Series:
     """The longest decoded prefix of at most `budget` tokens of a SentencePiece file (P3): decoded ids, shortened until it encodes within the budget."""
     import sentencepiece
@@ -117,7 +118,7 @@ def observation_variant(context: Column, variant: Column) -> Column:
     )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def compiles(source: pd.Series) -> pd.Series:
     """Whether Python source parses; nothing is run."""
     import ast
@@ -160,7 +161,7 @@ def placement_problem(context: Column, entries: Column, label: Column, family: C
     return problem if rejected is None else F.coalesce(rejected, problem)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _all_compile(sources: pd.Series) -> pd.Series:
     import ast
 

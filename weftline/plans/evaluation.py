@@ -79,8 +79,8 @@ def slices_long(spark, d):
 
 @query("wilson_by_family", f"""WITH {decision_sql()}, g AS (SELECT family, sum(answerable::INT)::BIGINT AS answerable, sum(correct_promotion::INT)::BIGINT AS correct FROM oc GROUP BY 1),
 p AS (SELECT *, correct::DOUBLE / nullif(answerable, 0) AS top1, 1.959963984540054::DOUBLE AS z, nullif(answerable, 0)::DOUBLE AS m FROM g)
-SELECT family, answerable, correct, top1, greatest(0.0::DOUBLE, (top1 + z*z/(2*m)) / (1 + z*z/m) - z * sqrt(top1*(1-top1)/m + z*z/(4*m*m)) / (1 + z*z/m)) AS low,
-least(1.0::DOUBLE, (top1 + z*z/(2*m)) / (1 + z*z/m) + z * sqrt(top1*(1-top1)/m + z*z/(4*m*m)) / (1 + z*z/m)) AS high FROM p""")
+SELECT family, answerable, correct, top1, CASE WHEN m > 0 THEN greatest(0.0::DOUBLE, (top1 + z*z/(2*m)) / (1 + z*z/m) - z * sqrt(top1*(1-top1)/m + z*z/(4*m*m)) / (1 + z*z/m)) END AS low,
+CASE WHEN m > 0 THEN least(1.0::DOUBLE, (top1 + z*z/(2*m)) / (1 + z*z/m) + z * sqrt(top1*(1-top1)/m + z*z/(4*m*m)) / (1 + z*z/m)) END AS high FROM p""")
 def wilson_by_family(spark, d):
     """A5."""
     return O.by_group(decided(spark, d), "family")

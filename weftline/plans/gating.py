@@ -357,3 +357,54 @@ def distinct_responses(spark, d):
 def top_by_size(spark, d):
     """O3, O4; ten rows are the feature."""
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "conv_id").limit(10)
+
+
+@query("draft_checks", "SELECT doc_id::VARCHAR AS id, [NULL, 'candidate_count', 'secure', 'surface', 'raw_surrounding_text', 'duplicated_selection', 'nearby_too_many', 'nearby_too_long', 'duplicate_payload', 'missing', 'unplanned'][doc_id % 11 + 1] AS problem FROM documents")
+def draft_checks(spark, d):
+    """One draft of each outcome, against its plan."""
+    from weftline.operators.drafts import drafts_against_plans
+
+    k = F.col("doc_id") % 11
+    text = lambda s: F.lit(s)
+    entry = lambda s: F.struct(text("text").alias("kind"), s.alias("text"))
+    near = F.when(k == 6, F.array(*[text(x) for x in "abcde"])).when(k == 7, F.array(F.repeat(text("x"), F.lit(241)))).otherwise(F.array(text("n")))
+    draft = F.struct(
+        F.struct((k == 2).alias("isSecure"), F.when(k == 3, "nowhere").otherwise("text").alias("inputSurface"), F.when(k == 4, "raw").otherwise("").alias("surroundingText"), F.when(k == 5, "sel").otherwise("").alias("selectedText")).alias("context"),
+        F.struct(F.when(k == 5, "sel").otherwise("b").alias("beforeSelection"), text("").alias("afterSelection"), near.alias("nearbyText")).alias("capture"),
+        F.when(k == 1, F.array(entry(text("a")))).when(k == 8, F.array(entry(text("a")), entry(text("a")))).otherwise(F.array(entry(text("a")), entry(text("b")))).alias("entries"),
+    )
+    rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), draft.alias("draft"))
+    return drafts_against_plans(rows.where("doc_id % 11 <> 9").select("id", "draft"), rows.where("doc_id % 11 <> 10").select("id", F.lit(2).alias("candidate_count")))
+
+
+@query("request_attempts", "SELECT event_id, 'b-a' || (event_id % 40) AS batch_id, (event_id % 3)::INT AS attempt FROM events WHERE event_id % 40 < 30 AND event_id % 7 <> 0")
+def request_attempts(spark, d):
+    """Requests on their batches by prefix; every seventh has no attempt mark."""
+    from weftline.operators.drafts import request_attempts as attempts
+
+    x = F.col("event_id")
+    name = F.concat(F.lit("b-a"), (x % 40).cast("string"))
+    r = table(spark, d, "events").select("event_id", F.concat(name, F.when(x % 7 == 0, "-x").otherwise(F.concat(F.lit("-a"), (x % 3).cast("string")))).alias("request_id"))
+    b = spark.range(30).select(F.concat(F.lit("b-a"), F.col("id").cast("string")).alias("batch_id"))
+    return attempts(r, b).select("event_id", "batch_id", "attempt")
+
+
+@query("approved_mixture", "SELECT doc_id AS id FROM documents WHERE doc_id % 3 <> 1 ORDER BY n_chars DESC, doc_id LIMIT 50")
+def approved_mixture(spark, d):
+    """The first fifty approved nominations in their order; fifty is the planned quantity."""
+    from weftline.operators.drafts import approved_in_order
+
+    n = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (-F.col("n_chars")).alias("rank"))
+    return approved_in_order(n, n.where("id % 3 <> 1"), "rank", 50).select("id")
+
+
+@query("inference_views", "SELECT doc_id AS id, (doc_id % 4 = 0) AS secure, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END AS label, 'file|text' AS capabilities FROM documents")
+def inference_views(spark, d):
+    """What a model may see; secure fields show no text."""
+    from weftline.operators.drafts import inference_view
+
+    n = F.lit(None).cast("string")
+    context = F.struct(n.alias("applicationCategory"), F.col("lang").alias("fieldLabel"), n.alias("fieldRole"), F.lit(None).cast("boolean").alias("hasAccessibility"), n.alias("inputSurface"), (F.col("doc_id") % 4 == 0).alias("isSecure"), n.alias("selectedText"), n.alias("surroundingText"))
+    entries = F.array(F.struct(F.array(F.lit("text"), F.lit("file"), F.lit("text")).alias("capabilities"), F.lit("c").alias("id"), F.lit("text").alias("kind"), F.lit("unknown").alias("sourceCategory"), F.lit("t").alias("text")))
+    v = inference_view(table(spark, d, "documents").select(F.col("doc_id").alias("id"), context.alias("context"), entries.alias("entries"), F.lit("hidden").alias("label")))
+    return v.select("id", F.col("context.isSecure").alias("secure"), F.col("context.fieldLabel").alias("label"), F.array_join(F.get("entries", F.lit(0))["capabilities"], "|").alias("capabilities"))
