@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.session import ship
+from weftline.sources.shared import Store, scratch, shared_dir
 
 #: At most this many 8-byte keys are broadcast (32 MB); a larger table goes through a shuffled join.
 BROADCAST_KEYS = 2_000_000
@@ -20,20 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine), a new temporary folder, set here."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="weftline-")
-        sc.setCheckpointDir(named)
-    return named
-
-
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
@@ -45,9 +35,7 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_weftline_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            Store(df.sparkSession, path).delete(path)
 
 
 def by_ids(df: DataFrame, ids: DataFrame, how: str, on: str, bound: int = BROADCAST_KEYS) -> DataFrame:
@@ -56,6 +44,15 @@ def by_ids(df: DataFrame, ids: DataFrame, how: str, on: str, bound: int = BROADC
     return df.join(F.broadcast(ids) if ids.count() <= bound else ids.hint("merge"), on, how)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: workers live on, and their heaps would add up over the stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
     """fn on every Arrow batch of df."""
 
@@ -66,6 +63,10 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                 yield out
             elif out is not None:
                 yield from out
+        give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+__all__ = ["arrow_map", "by_ids", "give_back", "materialize", "release", "shared_dir", "table"]

@@ -26,7 +26,7 @@ from weftline.llm.common import arrow_map
 from weftline.llm.pieces import MARK, IdCache, hash_spans, marked_words, piece_model, tokenizer_path
 from weftline.llm.spans import slices
 
-PAIRS = 1_000_000
+PAIRS = 250_000
 _coders: dict[str, "PieceCoder"] = {}
 
 

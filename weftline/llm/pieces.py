@@ -14,7 +14,7 @@ import numpy as np
 
 from weftline.llm.spans import U64, Words, mix
 
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 
 
 def tokenizer_path(name: str) -> str:

@@ -29,7 +29,7 @@ from weftline.llm.spans import BYTE_TABLE, U64, Words, in_doc, mix, slices
 
 ORDER, DISCOUNT, WINDOW = 5, 0.95, 4
 SAMPLE, CALIBRATION = 1500, 500
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 START, END = 0, 1
 
 
