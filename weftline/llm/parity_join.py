@@ -41,6 +41,8 @@ GROWTH, FAMILIES, FOLD = 1.4, 3, 16
 SAMPLE, COMMON_DOCS, COMMON = 32, 4, 1 << 17
 #: Rounds of leaders go on while more pairs than this, for each grouped row, are left to compare.
 PAIRS_PER_ROW, ROUNDS = 256, 8
+#: Groups of more rows are compared in cells of about CELL by CELL.
+CELL = 1000
 
 
 @lru_cache(maxsize=8)
@@ -260,11 +262,14 @@ class ParityJoin:
             labels = components(_union(found))
             open_rows, left, rows = self._open(groups, labels)
         if left:
-            full = open_rows.join(sketch, "id")
-            half = lambda x: full.select("key", F.col("id").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(FOLD)))
+            sides = open_rows.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+            full = open_rows.join(sides, "key").join(sketch, "id").withColumn("own", F.pmod(F.xxhash64("id"), "cells").cast("int"))
+            every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+            half = lambda x, *cell: full.select("key", *cell, F.col("id").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(FOLD)))
             near = _may_link(F.col("na"), F.col("nb"), self.num, self.den, _hamming("a", "b"))
-            x, y = half("a"), half("b").withColumnRenamed("key", "other")
-            on = (F.col("key") == F.col("other")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & near
+            x = half("a", F.col("own").alias("i"), every.alias("j")).repartition(parts, "key", "i", "j")
+            y = half("b", every.alias("other_i"), F.col("own").alias("other_j")).withColumnRenamed("key", "other").repartition(parts, "other", "other_i", "other_j")
+            on = (F.col("key") == F.col("other")) & (F.col("i") == F.col("other_i")) & (F.col("j") == F.col("other_j")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & near
             pairs = materialize(x.join(y, on).select("a", "b").distinct(), "pairs")
             found.append(self.verified(pairs))
             release(pairs)
