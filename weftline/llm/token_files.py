@@ -65,35 +65,39 @@ def unpack(words: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(out.T).reshape(len(words), -1).astype(np.uint32)
 
 
-def encode_file(keys: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
-    """keys: int64 of each document; starts: its first id; ids: uint32 of all documents."""
-    n, blocks = len(ids), -(-len(ids) // BLOCK)
-    padded = np.empty(blocks * BLOCK, np.uint32)
-    padded[:n] = ids
-    if blocks:
-        padded[n:] = ids[-1]
-    rows = padded.reshape(blocks, BLOCK)
-    least = rows.min(axis=1) if blocks else np.empty(0, np.uint32)
+def _encode_blocks(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(minimum, width, packed words, exceptions of each block, their positions, their values) of some whole blocks."""
+    least = rows.min(axis=1)
     rest = rows - least[:, None]
     at = min(BLOCK - 1, int(np.ceil(PERCENTILE * BLOCK)) - 1)
-    typical = np.partition(rest, at, axis=1)[:, at] if blocks else np.empty(0, np.uint32)
+    typical = np.partition(rest, at, axis=1)[:, at]
     width = np.where(typical > 0, np.floor(np.log2(np.maximum(typical, 1).astype(np.float64))) + 1, 0).astype(np.uint8)
-    limit = (np.uint64(1) << width.astype(np.uint64))[:, None]
-    odd = rest.astype(np.uint64) >= limit
-    words_of = width.astype(np.int64) * (BLOCK // 64)
-    first_word = np.concatenate(([0], np.cumsum(words_of)))
+    odd = rest.astype(np.uint64) >= (np.uint64(1) << width.astype(np.uint64))[:, None]
+    first_word = np.concatenate(([0], np.cumsum(width.astype(np.int64) * (BLOCK // 64))))
     body = np.zeros(first_word[-1], np.uint64)
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
         packed = pack(rest[own] & np.uint32((1 << w) - 1), w)
         body[first_word[own][:, None] + np.arange(packed.shape[1])] = packed
-    first_odd = np.concatenate(([0], np.cumsum(odd.sum(axis=1))))
-    odd_at = (np.flatnonzero(odd.ravel()) % BLOCK).astype("<u2")
-    parts = [
-        MAGIC, struct.pack("<QQQQ", len(keys), n, blocks, len(odd_at)), keys.astype("<i8"), np.append(starts, n).astype("<u8"), least.astype("<u4"), width,
-        first_word.astype("<u8"), first_odd.astype("<u8"), body.astype("<u8"), odd_at, rest[odd].astype("<u4"),
-    ]
-    return b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
+    return least, width, body, odd.sum(axis=1), (np.flatnonzero(odd.ravel()) % BLOCK).astype(np.uint16), rest[odd]
+
+
+def encode_file(keys: np.ndarray, starts: np.ndarray, ids: np.ndarray, step: int = 4096) -> bytes:
+    """keys: int64 of each document; starts: its first id; ids: uint32 of all documents. Works on `step` blocks at a time."""
+    n, blocks = len(ids), -(-len(ids) // BLOCK)
+    parts = []
+    for lo in range(0, blocks, step):
+        some = ids[lo * BLOCK : (lo + step) * BLOCK]
+        if len(some) % BLOCK:
+            some = np.concatenate((some, np.full(-len(some) % BLOCK, some[-1], np.uint32)))
+        parts.append(_encode_blocks(some.reshape(-1, BLOCK)))
+    least, width, body, n_odd, odd_at, odd = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint32), np.empty(0, np.uint8), *[np.empty(0, np.int64)] * 4)
+    first_word = np.concatenate(([0], np.cumsum(width.astype(np.int64) * (BLOCK // 64))))
+    first_odd = np.concatenate(([0], np.cumsum(n_odd)))
+    return b"".join([
+        MAGIC, struct.pack("<QQQQ", len(keys), n, blocks, len(odd_at)), keys.astype("<i8").tobytes(), np.append(starts, n).astype("<u8").tobytes(), least.astype("<u4").tobytes(), width.tobytes(),
+        first_word.astype("<u8").tobytes(), first_odd.astype("<u8").tobytes(), body.astype("<u8").tobytes(), odd_at.astype("<u2").tobytes(), odd.astype("<u4").tobytes(),
+    ])
 
 
 class TokenFile:
