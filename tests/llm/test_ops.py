@@ -393,6 +393,24 @@ def test_exchange_finds_planted_classes():
     assert (got == truth).all() or (got != truth).all()
 
 
+def test_words_outside_the_clustering_have_classes(spark, monkeypatch):
+    for name, v in (("CLUSTERED", 20), ("HEAD", 100), ("CLASSES", 2)):
+        monkeypatch.setattr(class_lm, name, v)
+    rng, sides = random.Random(4), [[f"{x}{i}" for i in range(200)] for x in "ab"]
+    weights = [1 / (i + 3) for i in range(200)]
+    texts = [" ".join(rng.choices(sides[i % 2], weights)[0] for i in range(rng.randint(10, 40))) for _ in range(700)]
+    rare = [w[120:180] for w in sides]
+    counts = collections.Counter(w for i, t in enumerate(texts, 1) if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.split())
+    pairs = [(a, b) for a, b in zip(*rare, strict=True) if min(counts[a], counts[b]) > 1]
+    probes = [" ".join(f"{a} {b}" for a, b in pairs), " ".join([a for a, _ in pairs] + [b for _, b in pairs])]
+    ids = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [*enumerate(texts, 1), *zip(ids, probes, strict=True)]
+    got = {r.doc_id: r for r in class_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right, wrong = (got[i] for i in ids)
+    assert len(pairs) > 40 and right.n_known == wrong.n_known == 2 * len(pairs) + 1
+    assert right.score - wrong.score > 0.3 * len(pairs)  # the same words in an order that no training text has
+
+
 def brute_quality(t):
     w, text = words(t), t or ""
     seen, dup = set(), 0
