@@ -226,6 +226,18 @@ def test_licences(spark):
     assert [got[7 + i] for i in range(len(licences.KNOWN))] == list(licences.KNOWN)
 
 
+def test_licence_files_with_titles_and_equivalent_words(spark):
+    folder = os.path.join(os.path.dirname(licences.__file__), "licence_texts")
+    full = {f[:-4]: open(os.path.join(folder, f), encoding="utf-8").read() for f in sorted(os.listdir(folder))} if os.path.isdir(folder) else {}
+    mit, bsd = licences.KNOWN["MIT"], licences.KNOWN["BSD-3-Clause"]
+    texts = [("MIT", f"MIT License\n\nCopyright (c) 2020 Jane Doe\n\n{mit}"), ("MIT", mit.replace("sublicense", "sub-license").replace("NONINFRINGEMENT", "NON-INFRINGEMENT")),
+             ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")), (None, "MIT License\n\nCopyright (c) 2020 Jane Doe"), (None, mit + " And more.")]
+    texts += list(full.items())
+    got = {r.doc_id: r.licence_id for r in licences.licence_matches(table(spark, [t for _, t in texts]), licences.known_licences(spark)).collect()}
+    assert [got[i] for i in range(1, len(texts) + 1)] == [k for k, _ in texts]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(full)
+
+
 # --- 5 ---
 
 def toxic_tables(spark, n=900):

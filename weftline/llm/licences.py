@@ -1,7 +1,8 @@
 """Licence scans by canonical digest lookup (operator 4), in DataFrame functions only.
 
 A text's canonical form is lower case, without copyright lines, with punctuation and white space as single spaces and with
-variant spellings unified; its SHA-256 is looked up among the digests of known licences, which go through the same form.
+variant spellings unified; its SHA-256 is the digest. The licence is looked up by the SHA-256 of that form with all EQUIVALENT words
+unified too, among those of the known licences, which go through the same form; titled and untitled forms are known texts of their own.
 The whole text counts: one text, one digest. The digest table is counted; up to BROADCAST_ROWS rows are broadcast and documents
 aren't shuffled, beyond that the join is shuffled and AQE splits a digest that many copies share.
 
@@ -11,6 +12,9 @@ If known texts share a canonical form, the smallest licence id is given. Repeate
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,13 @@ SPELLINGS = {
     "whilst": "while", "wilful": "willful",
 }
 
+#: Further equivalents of the same guidelines for the lookup, in order, on the words of the canonical form. The digest given out leaves them as they are.
+EQUIVALENT = (
+    ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("per cent", "percent"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("wilfull", "willful"), ("https", "http"),
+    ("artefact", "artifact"), ("artefacts", "artifacts"), ("analyse", "analyze"), ("analysed", "analyzed"), ("licences", "licenses"),
+    *((f"sub licen{x}{end}", f"sublicens{end}") for x in "sc" for end in ("e", "es", "ed", "ing", "able")), *((f"sublicenc{end}", f"sublicens{end}") for end in ("es", "ed", "ing", "able")),
+)
+
 #: A line that names a copyright holder or reserves rights, in lower case.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©(]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|<|\[)|\(c\)[ \t]*(copyright|[0-9]{4})|©|all rights reserved)[^\n]*"
 
@@ -38,24 +49,44 @@ def canonical(text: Column) -> Column:
     return F.filter(F.split(bare, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def digest(words: Column) -> Column:
-    """SHA-256 of the words with unified spellings."""
+def unified(words: Column) -> Column:
+    """The words with unified spellings, as one text."""
     same = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
-    return F.sha2(F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(same, w), w)), " "), 256)
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(same, w), w)), " ")
+
+
+def lookup_key(text: Column) -> Column:
+    """SHA-256 of a unified() text with all equivalents; each word gets borders of its own, so that plain replacement finds whole words."""
+    out = F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
+    for found, put in EQUIVALENT:
+        out = F.replace(out, F.lit(f" {found} ".replace(" ", "  ")[1:-1]), F.lit(f" {put} ".replace(" ", "  ")[1:-1]))
+    return F.sha2(out, 256)
 
 
 def licence_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, digest, licence_id (null if the text isn't a known licence). known: licence_id, text."""
-    table = known.select("licence_id", canonical(F.col("text")).alias("w")).where(F.size("w") > 0).select("licence_id", digest(F.col("w")).alias("digest"))
-    table = materialize(table.groupBy("digest").agg(F.min("licence_id").alias("licence_id")), "licences")
+    table = known.select("licence_id", canonical(F.col("text")).alias("w")).where(F.size("w") > 0).select("licence_id", lookup_key(unified(F.col("w"))).alias("_key"))
+    table = materialize(table.groupBy("_key").agg(F.min("licence_id").alias("licence_id")), "licences")
     side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-    own = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("w")).select(id_col, digest(F.col("w")).alias("digest"))
-    return own.join(side, "digest", "left").select(id_col, "digest", "licence_id")
+    own = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("w")).select(id_col, unified(F.col("w")).alias("_text"))
+    own = own.select(id_col, F.sha2("_text", 256).alias("digest"), lookup_key(F.col("_text")).alias("_key"))
+    return own.join(side, "_key", "left").select(id_col, "digest", "licence_id")
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    """The known texts of the registered query."""
-    return spark.createDataFrame(list(KNOWN.items()), "licence_id string, text string")
+    """The known texts of the registered query, in all forms."""
+    return spark.createDataFrame(known_forms(), "licence_id string, text string")
+
+
+def known_forms() -> list[tuple[str, str]]:
+    """(licence, text): the short texts without and with their usual titles; the full texts with and without title, and with and without what follows their terms."""
+    out = [(k, f"{title}\n\n{text}") for k, text in KNOWN.items() for title in ("", *TITLES.get(k, ()))]
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        whole = path.read_text(encoding="utf-8")
+        terms = re.split(r"(?m)^[ \t]*END OF TERMS AND CONDITIONS[ \t]*$", whole)[0]
+        for text in {whole, terms, terms + "END OF TERMS AND CONDITIONS"} if terms != whole else {whole}:
+            out += [(path.stem, text), (path.stem, re.sub(r"\A\s*(?:\S[^\n]*\n)+", "", text))]
+    return out
 
 
 def oracle() -> str:
@@ -115,3 +146,12 @@ KNOWN = {
         "for the specific language governing permissions and limitations under the License."
     ),
 }
+#: Usual titles of the short texts; punctuation and case don't count.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+}
