@@ -175,6 +175,16 @@ def test_url_model_separates_held_out_hosts():
         url_filter.train(["a"] * (url_filter.MAX_LABELLED + 1), ["/"] * (url_filter.MAX_LABELLED + 1), [0] * (url_filter.MAX_LABELLED + 1))
 
 
+def test_labelled_urls_hold_no_host_of_the_pages():
+    path = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("the driver's tables aren't here")
+    import pyarrow.parquet as pq
+
+    labels = {x for u in pq.read_table(path, columns=["url"])["url"].to_pylist() for x in url_filter._split(u or "")[0].split(".")} - {"www", "m", "blog", "example", "com", "net", "org"}
+    assert labels and not labels & {*url_filter._BLOCK_HOSTS, *url_filter._ALLOW_HOSTS}
+
+
 # --- 3, 4 ---
 
 def alnum(t):
