@@ -281,3 +281,13 @@ def test_drafts(spark):
     assert [r[0] for r in df.select(gates.placement_problem(F.col("context"), F.col("entries"), F.col("label"), F.col("family"))).collect()] == [None, "python_syntax", None]
     numbers = spark.range(10)
     assert drafts.first_by_predicate(numbers, [("even", F.col("id") % 2 == 0), ("small", F.col("id") < 3)], [F.col("id")]) == [("even", 0), ("small", 1)]
+
+
+def test_published_snapshot_holds_all_rows(spark, monkeypatch):
+    from weftline.plans import pipelines
+
+    done, publish = [], pipelines.records.publish
+    monkeypatch.setattr(pipelines, "table", lambda *_: spark.createDataFrame([(i, f"t{i}", "en") for i in range(1, 10)], "doc_id long, text string, lang string"))
+    monkeypatch.setattr(pipelines.records, "publish", lambda *a, **k: done.append(publish(*a, **k)))
+    assert {r.doc_id for r in pipelines.published_snapshot(spark, "").collect()} == {4, 8}
+    assert done[0]["rows"] == 9
