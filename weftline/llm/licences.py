@@ -57,10 +57,11 @@ def unified(words: Column) -> Column:
 
 def lookup_key(text: Column) -> Column:
     """SHA-256 of a unified() text with all equivalents; each word gets borders of its own, so that plain replacement finds whole words."""
-    out = F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
+    out = as_is = F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
     for found, put in EQUIVALENT:
         out = F.replace(out, F.lit(f" {found} ".replace(" ", "  ")[1:-1]), F.lit(f" {put} ".replace(" ", "  ")[1:-1]))
-    return F.sha2(out, 256)
+    words = F.array(*[F.lit(x) for x in sorted({found.split(" ")[0] for found, _ in EQUIVALENT})])
+    return F.sha2(F.when(F.arrays_overlap(F.split(text, " "), words), out).otherwise(as_is), 256)  # without a phrase's first word nothing is replaced
 
 
 def licence_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
