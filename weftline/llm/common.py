@@ -14,6 +14,8 @@ from weftline.sources.shared import Store, scratch, shared_dir
 
 #: At most this many 8-byte keys are broadcast (32 MB); a larger table goes through a shuffled join.
 BROADCAST_KEYS = 2_000_000
+#: Rows of one key that a task of a join may hold; more are dealt over salts.
+HOT_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,43 @@ def by_ids(df: DataFrame, ids: DataFrame, how: str, on: str, bound: int = BROADC
     return df.join(F.broadcast(ids) if ids.count() <= bound else ids.hint("merge"), on, how)
 
 
+def hot_join(many: DataFrame, few: DataFrame, on: list[str], spread: str, counts: DataFrame | None = None, hot: int = HOT_ROWS) -> DataFrame:
+    """Inner join of materialized `many` with `few`, which has one row for each key: the rows of a key that has more than `hot` of them are
+    dealt over salts by the hash of `spread`, and the key's row of `few` goes to each salt. counts: the keys with c, their rows, if known."""
+    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("c")) if counts is None else counts.select(*on, "c")
+    counts = materialize(counts.where(F.col("c") > hot).select(*on, F.ceil(F.col("c") / hot).cast("int").alias("_salts")), "hot")
+    n = counts.count()
+    if not n:
+        release(counts)
+        return many.join(few, on)
+    if n <= BROADCAST_KEYS:
+        left, right = (x.join(F.broadcast(counts), on, "left") for x in (many, few))
+    else:  # too many hot keys for a broadcast: every key takes the same number of salts
+        left, right = (x.withColumn("_salts", F.lit(64)) for x in (many, few))
+    size = F.coalesce("_salts", F.lit(1))
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), size).cast("int")).drop("_salts")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), size - 1))).drop("_salts")
+    return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
+def most_frequent(counted: DataFrame, count: str, bound: int) -> DataFrame:
+    """The rows with the largest counts, `bound` at most: a histogram of counts (some hundred rows) gives the cut, so nothing is sorted. Equal counts stay or go together."""
+    step = F.floor(F.log2(count) * 16).cast("int")
+    left, cut = bound, 0
+    for r in sorted(counted.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["s"]):
+        left -= r["n"]
+        if left < 0:
+            cut = r["s"] + 1
+            break
+    return counted.where(step >= cut)
+
+
+def whole_number_ids(df: DataFrame, id_col: str) -> None:
+    """Refuse ids that aren't whole numbers, which a cast would turn into nulls."""
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be a whole number, not {df.schema[id_col].dataType.simpleString()}")
+
+
 def give_back() -> None:
     """Return freed memory to the system at a task's end: workers live on, and their heaps would add up over the stages."""
     pa.default_memory_pool().release_unused()
@@ -69,4 +108,4 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-__all__ = ["arrow_map", "by_ids", "give_back", "materialize", "release", "shared_dir", "table"]
+__all__ = ["arrow_map", "by_ids", "give_back", "hot_join", "materialize", "most_frequent", "release", "shared_dir", "table", "whole_number_ids"]
