@@ -59,7 +59,7 @@ def test_utf16_and_strip(spark):
 
 def test_failure_texts(spark):
     text = F.lit("error 429: your limit will reset in 2 minutes; your limit will reset in 30 seconds")
-    assert list(one(spark, X.limit_signal(text), X.reset_countdown(text), X.limit_signal(F.lit("cost 1429")), X.reset_countdown(F.lit("none")))) == ["error_contains_429", 120, None, None]
+    assert list(one(spark, X.limit_signal(text), X.reset_countdown(text), X.limit_signal(F.lit("cost 1429")), X.reset_countdown(F.lit("none")))) == ["provider_error_contains_429", 120, None, None]
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
     assert list(one(spark, X.retry_after(F.lit("7"), now), X.retry_after(F.lit("Mon, 01 Jan 2024 00:01:00 GMT"), now), X.retry_after(F.lit("soon"), now), X.retry_after(F.lit("-3"), now))) == [7.0, 60.0, None, 0.0]
 
@@ -71,27 +71,36 @@ def test_application_category(spark):
 
 def test_envelope_render_round_trip(spark):
     none = F.lit(None).cast("string")
-    near = F.array(F.lit(" n "), F.lit("n"), F.lit("m" * 300), F.lit("k" * 240), F.lit("l" * 240), F.lit("o"))
-    text = E.render(F.lit(True), F.lit("b"), F.lit("a"), none, near)
-    got = one(spark, E.is_valid(text), F.transform(E.parsed(text)["nearbyText"], F.length), E.render(F.lit(False), none, none, F.lit(""), F.array().cast("array<string>")))
-    assert list(got) == [True, [1, 240, 240], ""]
+    near = F.array(F.lit(" n "), F.lit("n"), F.lit("m" * 300), F.lit("k" * 400), F.lit("o"))
+    text = E.render(F.lit("a😀bc"), F.lit(3), F.lit(1), F.lit("b"), near)
+    got = one(spark, text, E.is_valid(text), F.transform(E.parsed(text)["nearbyText"], F.length), E.render(F.lit(""), F.lit(0), F.lit(0), F.lit(""), F.array().cast("array<string>")))
+    assert json.loads(got[0])["beforeSelection"] == "a😀" and json.loads(got[0])["afterSelection"] == "c" and list(json.loads(got[0])) == ["format", "selectionKnown", "beforeSelection", "afterSelection", "nearbyText"]
+    assert list(got)[1:] == [True, [1, 240, 240], ""]
+    lost = [E.render(F.lit("a😀b"), F.lit(s), F.lit(n), F.lit(x), F.array().cast("array<string>")) for s, n, x in ((2, 1, "b"), (0, 9, "a"), (0, 1, "z"))] + [E.render(F.lit("ab"), none.cast("int"), none.cast("int"), F.lit(""), F.array().cast("array<string>"))]
+    assert all(json.loads(x)["selectionKnown"] is False for x in one(spark, *lost))
 
 
-def brute_trim(sizes, total):
+def test_nearby_texts_are_cut_to_what_is_left(spark):
+    near = lambda *xs, host=None: E.nearby_texts(F.array(*map(F.lit, xs)), host)
+    got = one(spark, near("a" * 240, "b" * 240, "c" * 240, "d"), near("Mail here", "mail", "mails", host="Mail"), near("1", "2", "3", "4", "5"), near("C++ x", host="C++"))
+    assert [len(x) for x in got[0]] == [240, 240, 120] and list(got[1]) == ["here", "mails"] and list(got[2]) == ["1", "2", "3", "4"] and list(got[3]) == ["x"]
+
+
+def brute_trim(sizes, total, fixed):
     sizes = list(sizes)
-    while sum(sizes) > total:
+    while sum(sizes) + fixed > total and any(sizes):
         i = max(range(len(sizes)), key=lambda k: (sizes[k], -k))
-        sizes[i] -= 1
+        sizes[i] = max(0, sizes[i] - max(1, sum(sizes) + fixed - total))
     return sizes
 
 
-def test_balanced_trim(spark):
+def test_trim_of_the_longest(spark):
     rng = random.Random(3)
     data = [tuple(rng.randint(0, 30) for _ in range(3)) for _ in range(300)]
     df = spark.createDataFrame(data, "a int, b int, c int").coalesce(1)
-    got = df.select("a", "b", "c", *[x.alias(f"t{i}") for i, x in enumerate(gates.trim_balanced([F.col("a"), F.col("b"), F.col("c")], 31))]).collect()
+    got = df.select("a", "b", "c", *[x.alias(f"t{i}") for i, x in enumerate(gates.trim_longest([F.col("a"), F.col("b"), F.col("c")], 31, 3))]).collect()
     for r in got:
-        assert [r.t0, r.t1, r.t2] == brute_trim((r.a, r.b, r.c), 31), r
+        assert [r.t0, r.t1, r.t2] == brute_trim((r.a, r.b, r.c), 31, 3), r
 
 
 def brute_actions(counts):
@@ -197,10 +206,9 @@ def test_snapshot_and_files(spark, tmp_path):
         records.publish(rows, path, "id", ["lang"])
     assert sorted(r.value for r in spark.read.text(f"{path}/lines").collect()) == ['{"id":1,"lang":"a"}', '{"id":2,"lang":"b"}']
     f = f"file://{tmp_path}/m.json"
-    shared.write_immutable_json(spark, f, {"a": 1})
-    shared.write_immutable_json(spark, f, {"a": 1})
+    assert [shared.write_immutable(spark, f, "x"), shared.write_immutable(spark, f, "x")] == ["published", "unchanged"]
     with pytest.raises(ValueError):
-        shared.write_immutable_json(spark, f, {"a": 2})
+        shared.write_immutable(spark, f, "y")
     with pytest.raises(ValueError):
         shared.write_json(spark, f"file://{tmp_path}/n.json", {"a": float("nan")})
     (tmp_path / "tree/sub").mkdir(parents=True)
@@ -236,35 +244,88 @@ def test_python_placement(spark):
     assert [r[0] for r in src.select(gates.compiles("s")).collect()] == [True, False, False]
 
 
-def test_updates():
-    assert usage.updates(5000, 2, 16) == {"steps_per_epoch": 313, "steps": 626, "seen": 10000}
+def test_updates(spark):
+    for n, epochs, batch, warm in ((5000, 2, 16, 0), (33, 2, 16, 7), (16, 1, 16, 1), (1, 3, 16, 5)):
+        got = one(spark, *usage.updates(F.lit(n), F.lit(epochs), F.lit(batch), F.lit(warm)).values())
+        sizes = [batch] * (n // batch) + ([n % batch] if n % batch else [])
+        assert list(got) == [len(sizes), warm + len(sizes) * epochs, sum(sizes[i % len(sizes)] for i in range(warm)) + n * epochs]
 
 
-def a_plan(**changes):
-    from weftline.plans import run_plan as R
+def test_ranks_and_running_sums(spark):
+    from weftline.operators.ranks import ranked
+
+    rng = random.Random(2)
+    rows = [(i, rng.randint(0, 5), rng.randint(0, 9)) for i in range(500)]
+    got = ranked(spark.createDataFrame(rows, "id long, g long, n long").repartition(7), [F.desc("g"), F.col("id")], sums={"total": "n"}).collect()
+    want, total = sorted(rows, key=lambda r: (-r[1], r[0])), 0
+    for k, (r, (i, g, n)) in enumerate(zip(sorted(got, key=lambda r: r.position), want, strict=True)):
+        total += n
+        assert (r.id, r.g, r.n, r.position, r.total) == (i, g, n, k, total)
+    assert ranked(spark.createDataFrame([], "id long"), [F.col("id")]).count() == 0
+
+
+def test_literal_containment_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "SHORT_ITEMS", 3)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
+    texts = [(i, rng.choice(["", " ", "\n"]).join(word() + rng.choice([" ", "  ", "\n"]) for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(90, None)]
+    items = [(" ".join(word() for _ in range(rng.randint(1, 5))),) for _ in range(25)] + [("  a b ",), ("a  b  a",)]
+    got = dedup.contained(spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame(items, "i string"), "k", "t", "i").collect()
+    want = {(k, i) for k, t in texts if t for (i,) in items if i in t}
+    assert {(r.k, r.i) for r in got} == want and len(got) == len(want)
+
+
+def test_recent_events_across_spans(spark, monkeypatch):
+    monkeypatch.setattr(usage, "SPAN", 2)
+    rng = random.Random(1)
+    rows = [(rng.randint(0, 2), rng.randint(0, 40_000)) for _ in range(300)]
+    log = spark.createDataFrame(rows, "k long, s long").withColumn("started_at", F.timestamp_seconds("s"))
+    for r in usage.recent(log, "k", 3600).collect():
+        assert r.recent == sum(k == r.k and 0 <= r.s - s <= 3600 for k, s in rows)
 
-    d = {
-        "version": "run-plan-v1", "run_id": "r1", "split_targets": {"train": 200, "dev": 20, "calibration": 20, "test": 30}, "pilot_episodes": 50, "hardening": {"pool_episodes": 40, "review_nominations": 20, "accepted_new": 10, "retained_original": 50},
-        "training_seeds": R.SEEDS, "epochs": R.EPOCHS, "head_warmup_steps": 5, "effective_batch_episodes": 16, "family_partition_sha256": "a" * 64, "projection_provenance_sha256": "b" * 64, "teacher_contract_version": "t", "registration_reason": "x",
-        "registered_at": "now", "cost_evidence": [{"path": "reports/x.json", "sha256": "c" * 64}], "quality_gates": dict(R.GATES),
-    }
-    for k, v in changes.items():
-        d.pop(k) if v is None else d.update({k: v})
-    return json.dumps(d)
+
+def test_claims_survive_a_restart(spark, tmp_path):
+    from weftline.streaming import logs
+
+    folder, place = f"file://{tmp_path}/in", f"file://{tmp_path}/claims"
+    for k, rows in enumerate(([("a", 5), ("b", 6)], [("a", 1), ("c", 2)])):
+        spark.createDataFrame([(*r, k) for r in rows], "digest string, owner long, arrival int").coalesce(1).write.mode("append").parquet(folder)
+        got = logs.rolling_claims(logs.source(spark, folder, "digest string, owner long, arrival int", 1), "digest", "owner", "arrival", place)
+    assert {r.digest: r.owner for r in got.collect()} == {"a": 5, "b": 6, "c": 2}  # a smaller id that comes later doesn't take a claim
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
 
 
 def test_run_plan():
     from weftline.plans import run_plan as R
-
-    p = R.parse(a_plan())
-    assert p.target("test") == 30 and p.binding()["run_plan_sha256"] == hashlib.sha256(a_plan().encode()).hexdigest()
-    bad = [{"run_id": None}, {"extra": 1}, {"run_id": "Bad Name"}, {"pilot_episodes": 201}, {"pilot_episodes": True}, {"diagnostic_episodes": 50}, {"training_seeds": [1]}, {"quality_gates": dict(R.GATES, top1_improvement=0.01)}, {"cost_evidence": []},
-           {"cost_evidence": [{"path": "../x", "sha256": "c" * 64}]}, {"family_partition_sha256": "A" * 64}, {"registered_at": " "}, {"hardening": {"pool_episodes": 5, "review_nominations": 20, "accepted_new": 10, "retained_original": 50}}, {"version": "other"}]
-    for change in bad:
-        with pytest.raises(R.PlanError):
-            R.parse(a_plan(**change))
-    with pytest.raises(R.PlanError):
-        R.parse(a_plan(), sources={"family_partition_sha256": "d" * 64})
+    from weftline.plans.contracts import PLANS, plan_document
+
+    text = json.dumps(plan_document())
+    p = R.parse(text)
+    assert p.target("test") == 30 and p.binding()["run_plan_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    for _, change, problem in PLANS:
+        if problem is None or problem.startswith("quota"):
+            R.parse(json.dumps(plan_document(**change)))
+            continue
+        with pytest.raises(R.PlanError, match=problem):
+            R.parse(json.dumps(plan_document(**change)))
+    with pytest.raises(R.PlanError, match="quota"):
+        R.parse(text, families={"train": 4, "test": 31})
+    with pytest.raises(R.PlanError, match="changed"):
+        R.parse(text, sources={"family_partition_sha256": "d" * 64})
 
 
 def test_drafts(spark):
@@ -289,5 +350,5 @@ def test_published_snapshot_holds_all_rows(spark, monkeypatch):
     done, publish = [], pipelines.records.publish
     monkeypatch.setattr(pipelines, "table", lambda *_: spark.createDataFrame([(i, f"t{i}", "en") for i in range(1, 10)], "doc_id long, text string, lang string"))
     monkeypatch.setattr(pipelines.records, "publish", lambda *a, **k: done.append(publish(*a, **k)))
-    assert {r.doc_id for r in pipelines.published_snapshot(spark, "").collect()} == {4, 8}
+    assert {r.doc_id for r in pipelines.published_snapshot(spark, "").collect()} == set(range(1, 10))
     assert done[0]["rows"] == 9

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.expr import nonblank, strip
+from weftline.functions.expr import nonblank, strip, utf16_length, utf16_substring
 
 SCHEMA = "struct<format:string,selectionKnown:boolean,beforeSelection:string,afterSelection:string,textWindow:string,nearbyText:array<string>>"
 #: The two key sets of a valid envelope: around a known selection, or a window of text.
@@ -55,14 +55,28 @@ def duplicated_boundary(selected: Column, surrounding: Column) -> Column:
     return F.coalesce((selected != "") & is_loose(surrounding) & e["selectionKnown"] & (before | after), F.lit(False))
 
 
-def render(known: Column, before: Column, after: Column, window: Column, nearby: Column, tag: str = FORMAT) -> Column:
-    """The envelope of a focus; the empty string if all of it is empty. Nearby texts are trimmed, distinct, at most 4, 240 characters each, 600 in all."""
-    near = F.slice(F.array_distinct(F.filter(F.transform(nearby, lambda x: F.substring(strip(x), 1, 240)), lambda x: x != "")), 1, 4)
-    empty = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"))
-    near = F.aggregate(near, empty, lambda a, x: F.when(
-        a["used"] + F.length(x) <= 600, F.struct(F.concat(a["kept"], F.array(x)).alias("kept"), (a["used"] + F.length(x)).alias("used"))).otherwise(a))["kept"]
-    b, a, w = (F.coalesce(x, F.lit("")) for x in (before, after, window))
-    full = F.to_json(F.struct(a.alias("afterSelection"), b.alias("beforeSelection"), F.lit(tag).alias("format"), near.alias("nearbyText"), F.lit(True).alias("selectionKnown")))
-    part = F.to_json(F.struct(F.lit(tag).alias("format"), near.alias("nearbyText"), F.lit(False).alias("selectionKnown"), w.alias("textWindow")))
-    nothing = (F.size(near) == 0) & F.when(known, (b == "") & (a == "")).otherwise(w == "")
+def nearby_texts(values: Column, host: str | None = None) -> Column:
+    """The first 4 texts, trimmed, distinct, at most 240 characters each and 600 in all, the last one cut to what is left; without the host's name as a word (P23). Characters are code points."""
+    bare = (lambda x: F.regexp_replace(x, "(?i)(?<![\\p{L}\\p{N}])" + "".join(f"\\{c}" if not c.isalnum() and not c.isspace() else c for c in host) + "(?![\\p{L}\\p{N}])", "")) if host else (lambda x: x)
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(600).alias("left"))
+
+    def add(a: Column, x: Column) -> Column:
+        label = F.substring(strip(bare(x)), F.lit(1), F.least(F.lit(240), a["left"]))
+        return F.when((a["left"] <= 0) | (label == "") | F.array_contains(a["kept"], label), a).otherwise(F.struct(F.concat(a["kept"], F.array(label)).alias("kept"), (a["left"] - F.length(label)).alias("left")))
+
+    return F.aggregate(F.slice(F.coalesce(values, F.array().cast("array<string>")), 1, 4), start, add)["kept"]
+
+
+def render(window: Column, start: Column, length: Column, selected: Column, nearby: Column, host: str | None = None, tag: str = FORMAT) -> Column:
+    """The envelope of a focus (P23), keys in the format's own order; empty if there's no text at all.
+
+    The selection is known if its UTF-16 range lies in the window's first 1,700 characters, splits no surrogate pair and holds the selected text.
+    """
+    text, near = F.substring(F.coalesce(window, F.lit("")), 1, 1700), nearby_texts(nearby, host)
+    got = utf16_substring(text, start, length)
+    known = F.coalesce(got == selected, F.lit(False))
+    before, after = utf16_substring(text, F.lit(0), start), utf16_substring(text, start + length, utf16_length(text) - start - length)
+    full = F.to_json(F.struct(F.lit(tag).alias("format"), F.lit(True).alias("selectionKnown"), before.alias("beforeSelection"), after.alias("afterSelection"), near.alias("nearbyText")))
+    part = F.to_json(F.struct(F.lit(tag).alias("format"), F.lit(False).alias("selectionKnown"), text.alias("textWindow"), near.alias("nearbyText")))
+    nothing = (text == "") & (F.size(near) == 0) & (F.coalesce(selected, F.lit("")) == "")
     return F.when(nothing, "").when(known, full).otherwise(part)

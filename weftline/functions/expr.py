@@ -217,20 +217,46 @@ def retry_after(value: Column, now: Column) -> Column:
     return F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds))
 
 
+# Signals of a rate limit (P32), fixed values.
+LIMIT_SIGNALS = ("provider_error_contains_429", "explicit_provider_free_model_rate_limit")
+_EVENT = "struct<type:string,error:string,errorMessage:string,message:struct<role:string,stopReason:string,errorMessage:string>>"
+
+
+def error_messages(stdout: Column) -> Column:
+    """Messages of the error events in a log of JSON lines (P32): failed assistant messages, and error and retry events. Other text never counts."""
+    events = F.transform(F.split(F.coalesce(stdout, F.lit("")), "\\r?\\n"), lambda x: F.from_json(x, _EVENT))
+    said = lambda e: e["message"]
+    failed = lambda e: F.coalesce((said(e)["role"] == "assistant") & said(e)["stopReason"].isin("error", "aborted"), F.lit(False))
+    some = lambda *xs: F.coalesce(*[F.when(x != "", x) for x in xs])
+    text = lambda e: F.when(failed(e), some(said(e)["errorMessage"], said(e)["stopReason"])).when(e["type"].isin("error", "auto_retry_start", "auto_retry_end"), some(e["errorMessage"], e["error"]))
+    return F.filter(F.transform(events, text), lambda m: m.isNotNull())
+
+
 def limit_signal(text: Column) -> Column:
     """Whether an error text shows a rate limit: a bare 429, an explicit notice, or nothing."""
     t = F.lower(text)
-    return F.when(t.rlike(r"\b429\b"), "error_contains_429").when(t.contains("reached free model rate limit"), "explicit_limit")
+    return F.when(t.rlike(r"\b429\b"), LIMIT_SIGNALS[0]).when(t.contains("reached free model rate limit"), LIMIT_SIGNALS[1])
 
 
 def reset_countdown(text: Column) -> Column:
     """The longest announced reset within a week, in seconds."""
     t, pattern = F.lower(text), F.lit(r"\byour limit will reset in\s+(\d+)\s+(seconds?|minutes?|hours?)\b")
     both = F.arrays_zip(F.regexp_extract_all(t, pattern, F.lit(1)).alias("n"), F.regexp_extract_all(t, pattern, F.lit(2)).alias("u"))
-    seconds = F.transform(both, lambda x: x["n"].cast("long") * F.when(F.startswith(x["u"], F.lit("second")), 1).when(F.startswith(x["u"], F.lit("minute")), 60).otherwise(3600))
+    seconds = F.transform(both, lambda x: x["n"].try_cast("long") * F.when(F.startswith(x["u"], F.lit("second")), 1).when(F.startswith(x["u"], F.lit("minute")), 60).otherwise(3600))
     return F.array_max(F.filter(seconds, lambda s: s <= 7 * 86400))
 
 
+def limit_evidence(stdout: Column, stderr: Column) -> Column:
+    """signal and countdown of a failed run's output; null without a signal."""
+    text = F.concat(F.array_join(error_messages(stdout), "\n"), F.lit("\n"), F.coalesce(stderr, F.lit("")))
+    return F.when(limit_signal(text).isNotNull(), F.struct(limit_signal(text).alias("signal"), reset_countdown(text).alias("countdown")))
+
+
+def word_count(text: Column) -> Column:
+    """Words between white space: the additive token counter of the registered queries."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
+
+
 def known_usage(*counters: Column) -> Column:
     """True where some counter is known and not all are 0; all-zero usage is unknown."""
     return F.coalesce(F.greatest(*counters), F.lit(0)) > 0

@@ -37,3 +37,12 @@ def fit(rows: DataFrame, features: list[Column], target: Column, c: float = 1.0,
         if np.abs(step).max() < tolerance:
             break
     return rows.sparkSession.createDataFrame([(mean, scale, [float(a) for a in w[:k]], float(w[k]), int(m["n"]))], "mean array<double>, scale array<double>, coefficients array<double>, intercept double, rows long")
+
+
+def gradient(rows: DataFrame, features: list[Column], target: Column, fitted, c: float = 1.0) -> list[float]:
+    """Slopes of the penalized log-likelihood at a fitted row of fit(): of each coefficient, then of the intercept. All are 0 at the optimum."""
+    w = [*fitted["coefficients"], fitted["intercept"]]
+    z = [(f - m) / s for f, m, s in zip(features, fitted["mean"], fitted["scale"], strict=True)] + [F.lit(1.0)]
+    gap = target.cast("double") - sigmoid(sum((x * float(a) for x, a in zip(z, w, strict=True)), F.lit(0.0)))
+    got = rows.agg(*[F.sum(gap * x).alias(f"g{i}") for i, x in enumerate(z)]).first()
+    return [got[f"g{i}"] - (a / c if i < len(w) - 1 else 0.0) for i, a in enumerate(w)]

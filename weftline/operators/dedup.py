@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.select import small
+from weftline.sources.shared import stored
+
 
 class CoverageError(ValueError):
     """Two tables that must hold the same keys once don't."""
@@ -99,8 +102,27 @@ def manifest_difference(expected: DataFrame, actual: DataFrame, key: str = "path
     return a.join(b, key, "full").select(key, problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def contained(texts: DataFrame, items: DataFrame, text: str, item: str, condition: Column | None = None) -> DataFrame:
-    """Pairs whose item is a literal substring of the text (J20): a theta join, for which the items are broadcast (a short fixed list)."""
-    i = F.broadcast(items)
-    on = F.contains(F.col(text), F.col(item)) if condition is None else F.contains(F.col(text), F.col(item)) & condition
-    return texts.join(i, on)
+#: Items of one or two words that are compared with every text at once; more go in several blocks.
+SHORT_ITEMS = 1_000
+
+
+def contained(texts: DataFrame, items: DataFrame, key: str, text: str, item: str) -> DataFrame:
+    """key and item of every text that holds an item literally.
+
+    White space around the inner words of an item stands in the text too, so an item of three or more words is looked up by its longest inner word among the text's distinct words (a hash join), and verified
+    on the rows that have it. Shorter items are compared with all texts, in blocks of SHORT_ITEMS.
+    """
+    words = F.split(F.col(item), r"\s+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    known = stored(items.select(F.col(item), longest.alias("_word")).distinct(), "items")
+    anchored, short = known.where("_word IS NOT NULL"), known.where("_word IS NULL").select(item)
+    has = texts.select(key, F.explode(F.array_distinct(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"))).alias("_word"))
+    pairs = has.join(small(anchored), "_word").select(key, item).distinct()
+    out = texts.select(key, F.col(text).alias("_text")).join(pairs, key).where(F.contains("_text", F.col(item))).select(key, item)
+    n = short.count()
+    blocks = -(-n // SHORT_ITEMS)
+    for b in range(blocks):
+        some = F.broadcast(short.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b))
+        out = out.unionByName(texts.join(some, F.contains(F.col(text), F.col(item))).select(key, item))
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import envelope as E
 from weftline.functions.expr import content_fingerprint
-from weftline.operators.gates import PAIR_TOKENS, compiles, first_problem, normalized_context, normalized_entries, quota_matches
+from weftline.operators.gates import PAIR_TOKENS, all_compile, first_problem, normalized_context, normalized_entries, quota_matches
 from weftline.schemas import SURFACES
 
 
@@ -16,9 +16,10 @@ def inference_view(df: DataFrame) -> DataFrame:
     return df.select("id", normalized_context(F.col("context")).alias("context"), normalized_entries(F.col("entries")).alias("entries"))
 
 
-def author_view(draft: Column) -> Column:
-    """A draft without what only its author knows."""
-    return draft.dropFields("decision_gate")
+def author_view(draft: Column, gated: Column | None = None) -> Column:
+    """A draft without what only its author knows (P19). gated: whether the draft's version has a gate at all; others are left as they are."""
+    bare = draft.dropFields("decision_gate")
+    return bare if gated is None else F.when(gated, draft.withField("decision_gate", F.lit(None))).otherwise(draft)
 
 
 def draft_problem(draft: Column, planned: Column) -> Column:
@@ -48,29 +49,42 @@ def reidentified(entries: Column, seed: Column) -> Column:
 
 
 def program_problem(context: Column, entries: Column, label: Column, family: Column) -> Column:
-    """Select without a semantic context, or Python that doesn't parse where it would be inserted (P10)."""
+    """Select without a semantic context, or a positive that isn't Python where it would be inserted (P10). Sources are parsed, never run."""
     around = F.coalesce(context["surroundingText"], F.lit(""))
     e = E.parsed(around)
     good = F.filter(entries, lambda x: F.array_contains(label["acceptable_ids"], x["id"]))
-    source = F.transform(good, lambda x: F.concat(F.coalesce(e["beforeSelection"], F.lit("")), x["text"], F.coalesce(e["afterSelection"], F.lit(""))))
+    sources = F.transform(good, lambda x: F.concat(F.coalesce(e["beforeSelection"], F.lit("")), x["text"], F.coalesce(e["afterSelection"], F.lit(""))))
     select, python = label["decision"] == "select", F.startswith(family, F.lit("python_"))
-    whole = F.array_join(F.transform(source, lambda s: F.concat(F.lit("if 1:\n "), F.replace(s, F.lit("\n"), F.lit("\n ")))), "\n")
     seen = E.has_semantic_context(context["fieldLabel"], context["selectedText"], around)
-    return first_problem((select & ~seen, "no_semantic_context"), (select & python & ~compiles(whole), "python_syntax"))
+    return first_problem((select & ~seen, "no_semantic_context"), (select & python & ~all_compile(sources), "python_syntax"))
 
 
 def gates_passed(df: DataFrame, protocols: dict[str, str], exclusions: DataFrame) -> DataFrame:
-    """Held-out rows that pass all current gates (P13): reviewed family, realistic, protocol versions, not excluded, no duplicated boundary, in their bucket.
+    """Held-out rows that pass all current gates (P13): reviewed family and no other, realistic, protocol versions, not excluded, no duplicated boundary, in their bucket.
 
-    Columns: context, entries, label, desired, family_id, observed_family_id, realistic, and one for each protocol.
+    Columns: context, entries, label, desired, family_id, observed_family_id, secondary_family_ids, realistic, and one for each protocol.
     """
-    ok = (F.col("observed_family_id") == F.col("family_id")) & F.coalesce("realistic", F.lit(False)) & ~E.duplicated_boundary(F.col("context.selectedText"), F.col("context.surroundingText")) & quota_matches(F.col("desired"), F.col("label"))
+    alone = F.size(F.coalesce("secondary_family_ids", F.array().cast("array<string>"))) == 0
+    ok = (F.col("observed_family_id") == F.col("family_id")) & alone & F.coalesce("realistic", F.lit(False)) & ~E.duplicated_boundary(F.col("context.selectedText"), F.col("context.surroundingText")) & quota_matches(F.col("desired"), F.col("label"))
     for column, version in protocols.items():
         ok = ok & (F.col(column) == version)
     rows = df.where(F.coalesce(ok, F.lit(False))).withColumn("_digest", content_fingerprint(F.col("context"), F.col("entries")))
     return rows.join(exclusions.select(F.col("digest").alias("_digest")).distinct(), "_digest", "left_anti").drop("_digest")
 
 
+def context_body(context: Column) -> Column:
+    """The context as a model reads it (P5)."""
+    return F.concat(F.lit("Field: "), context["fieldLabel"], F.lit("\nSelected: "), context["selectedText"], F.lit("\nSurrounding: "), context["surroundingText"])
+
+
+def metadata(context: Column, entry: Column) -> Column:
+    """What stands before the context in each pair (P5)."""
+    return F.concat(
+        F.lit("Context "), context["applicationCategory"], F.lit(" "), context["inputSurface"], F.lit(" "), context["fieldRole"], F.when(context["hasAccessibility"], " accessible").otherwise(" inaccessible"),
+        F.lit("\nCandidate "), entry["kind"], F.lit(" "), F.array_join(entry["capabilities"], ","), F.lit(" "), entry["sourceCategory"], F.lit("\n"),
+    )
+
+
 def pair_sizes(df: DataFrame, context_tokens: Column, candidate_tokens, special: int = 3) -> DataFrame:
     """Largest pair of each episode in tokens, and whether all fit (P5). candidate_tokens: column function of an entry."""
     size = F.array_max(F.transform("entries", lambda e: context_tokens + candidate_tokens(e) + special))
@@ -101,11 +115,6 @@ def first_by_predicate(df: DataFrame, predicates: list[tuple[str, Column]], orde
     return out
 
 
-def author_gate_replay(df: DataFrame, problem: Column) -> DataFrame:
-    """Rows whose recorded gate outcome isn't the recomputed one (R9). Column: gate_problem."""
-    return df.select("id", problem.alias("now"), "gate_problem").where(~F.col("now").eqNullSafe(F.col("gate_problem")))
-
-
 def numbered_batches(df: DataFrame, order: list[Column], size: int, by: list[str]) -> DataFrame:
     """Rows of each group in fixed-size batches."""
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size).cast("long"))

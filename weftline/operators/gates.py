@@ -65,47 +65,54 @@ def clip_words(text: Column, budget: int) -> Column:
     return F.regexp_extract(text, rf"^(?:\s*\S+){{0,{budget}}}", 0)
 
 
+_models: dict = {}
+
+
+def _pieces(path: str):
+    """One model to a worker process and file."""
+    if path not in _models:
+        import sentencepiece
+
+        _models[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return _models[path]
+
+
+def _clip(lib, text: str, budget: int) -> str:
+    ids = lib.encode(text)
+    if len(ids) <= budget:
+        return text
+    out = lib.decode(ids[:budget])
+    if text.startswith(out) and len(lib.encode(out)) <= budget:
+        return out
+    fits = lambda n: text.startswith(out[:n]) and len(lib.encode(out[:n])) <= budget
+    low, high = 0, len(out)
+    while low < high:  # a shorter prefix of a prefix that fits needs no more tokens but for the last few; the step down from there ends the search
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if fits(middle) else (low, middle - 1)
+    while low and not fits(low):
+        low -= 1
+    return out[:low]
+
+
 @F.pandas_udf(T.StringType())
 def clip_pieces(text: pd.Series, budget: pd.Series, path: pd.Series) -> pd.Series:
     """The longest decoded prefix of at most `budget` tokens of a SentencePiece file (P3): decoded ids, shortened until it encodes within the budget."""
-    import sentencepiece
-
-    models: dict = {}
-
-    def one(t, n, p):
-        if t is None:
-            return None
-        if p not in models:
-            models[p] = sentencepiece.SentencePieceProcessor(model_file=p)
-        lib = models[p]
-        ids = lib.encode(t)
-        if len(ids) <= n:
-            return t
-        out = lib.decode(ids[:n])
-        while out and (len(lib.encode(out)) > n or not t.startswith(out)):
-            out = out[:-1]
-        return out
+    return pd.Series([None if t is None else _clip(_pieces(p), t, n) for t, n, p in zip(text, budget, path, strict=True)])
 
-    return pd.Series([one(*x) for x in zip(text, budget, path, strict=True)])
 
-
-def trim_balanced(fields: list[Column], total: int) -> list[Column]:
-    """Word counts left of fields when the longest (ties: the first) loses one until the sum fits (P4), in closed form: water-filling a common level.
-
-    With an additive counter, taking one at a time from the longest leaves every field at most at a level, and the rest of the budget to the later ones.
-    """
-    s = F.array_sort(F.array(*fields))
-    k = len(fields)
-    # the level: the largest L with sum(min(n, L)) <= total
-    sums = [sum((F.get(s, F.lit(i)) for i in range(j)), F.lit(0)) for j in range(k)]
-    level = F.greatest(*[F.floor((F.lit(total) - sums[j]) / (k - j)) for j in range(k)])
-    used = sum((F.least(f, level) for f in fields), F.lit(0))
-    spare = F.lit(total) - used
-    out = []
-    for i, f in enumerate(fields):
-        later = sum(((g > level).cast("int") for g in fields[i + 1 :]), F.lit(0))
-        out.append(F.when(sum(fields, F.lit(0)) <= total, f).otherwise(F.least(f, level) + ((f > level) & (later < spare)).cast("int")))
-    return out
+def trim_longest(fields: list[Column], total: int, fixed: int = 0) -> list[Column]:
+    """Token counts left of fields (P4): while their sum and the fixed part exceed the total, the longest (ties: the first) loses the excess, or all it has. Each turn ends the trim or empties a field, so there are as many turns as fields."""
+    now = list(fields)
+    for _ in fields:
+        excess = F.greatest(sum(now, F.lit(fixed)) - total, F.lit(0))
+        top = F.greatest(*now)
+        out, free = [], F.lit(True)
+        for f in now:
+            hit = free & (f == top)
+            out.append(F.when(hit, F.greatest(F.lit(0), f - excess)).otherwise(f))
+            free = free & ~hit
+        now = out
+    return now
 
 
 def observation_variant(context: Column, variant: Column) -> Column:
@@ -118,6 +125,11 @@ def observation_variant(context: Column, variant: Column) -> Column:
     )
 
 
+def variant_problem(variant: Column, labelled: Column, secure: Column) -> Column:
+    """Why a view can't be applied (P17): only registered ones, before any label or budget, and none but the standard one on secure input."""
+    return first_problem((~variant.isin("standard", "no_accessibility", "generic_field") | variant.isNull(), "unregistered_variant"), (labelled, "already_labelled"), ((variant != "standard") & secure, "secure_input"))
+
+
 @F.pandas_udf(T.BooleanType())
 def compiles(source: pd.Series) -> pd.Series:
     """Whether Python source parses; nothing is run."""
@@ -155,14 +167,14 @@ def placement_problem(context: Column, entries: Column, label: Column, family: C
         code = select & editor & F.startswith(family, F.lit("python_"))
         positives = F.filter(entries, lambda x: F.array_contains(label["acceptable_ids"], x["id"]))
         sources = F.transform(positives, lambda x: F.concat(F.when(focus, before).otherwise(""), x["text"], F.when(focus, after).otherwise("")))
-        cases += [(code & focus & ~known, "python_range_unknown"), (code & ~_all_compile(sources), "python_syntax")]
+        cases += [(code & focus & ~known, "python_range_unknown"), (code & ~all_compile(sources), "python_syntax")]
     cases += [(method & ((context["fieldLabel"] != "HTTP method") | (context["fieldRole"] != "AXTextField")), "method_field"), (method & (selected != "") & ~strip(selected).rlike("^[A-Za-z-]+$"), "method_token")]
     problem = first_problem(*cases)
     return problem if rejected is None else F.coalesce(rejected, problem)
 
 
 @F.pandas_udf(T.BooleanType())
-def _all_compile(sources: pd.Series) -> pd.Series:
+def all_compile(sources: pd.Series) -> pd.Series:
     import ast
 
     def ok(xs):
@@ -219,10 +231,21 @@ def derived_label(entries: Column, verdicts: Column, reason: Column) -> tuple[Co
 
 
 def identical_text_problem(entries: Column, label: Column) -> Column:
-    """Text-only entries with equal text must share their label."""
+    """Whether a text-only entry has the text of an accepted one but isn't accepted."""
     plain = F.filter(entries, lambda e: e["capabilities"] == F.array(F.lit("text")))
     good, bad = (F.transform(F.filter(plain, lambda e: F.array_contains(label["acceptable_ids"], e["id"]) == want), lambda e: e["text"]) for want in (F.lit(True), F.lit(False)))
-    return F.arrays_overlap(good, bad)
+    return F.coalesce(F.arrays_overlap(good, bad), F.lit(False))
+
+
+def label_batch_problems(labels: DataFrame, visible: DataFrame, key: str = "id") -> DataFrame:
+    """Every id of a request or its response with its first problem (P7): exactly one label each, the label contract, equal texts labelled alike. visible: key, entries; labels: key, label."""
+    said = labels.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first("label").alias("label"))
+    both = visible.select(key, "entries").join(said, key, "full")
+    problem = first_problem(
+        (F.col("_n").isNull(), "missing"), (F.col("entries").isNull(), "unknown_id"), (F.col("_n") > 1, "repeated"),
+    )
+    contract = label_problem(F.col("label"), F.transform("entries", lambda e: e["id"]))
+    return both.select(key, F.coalesce(problem, contract, F.when(identical_text_problem(F.col("entries"), F.col("label")), "identical_text_omitted")).alias("problem"))
 
 
 def remapped(label: Column, names: Column) -> Column:
@@ -250,11 +273,13 @@ def candidate_summary(kind: Column, text: Column, limit: int = 160) -> Column:
 
 
 def payload_problem(text: Column, kind: Column, width: Column, height: Column, names: Column) -> Column:
-    """Limits of candidate payloads (P25): text bytes, file names, image dimensions."""
-    bad = F.exists(names, lambda n: (n == "") | n.isin(".", "..") | n.rlike(r"[/\\\x00]"))
+    """The first limit that a candidate's payload breaks (P25): its type, text, file names, image dimensions."""
+    bad = F.exists(names, lambda n: n.isNull() | (n == "") | n.isin(".", "..") | (F.octet_length(n) > 255) | n.rlike("[/\\\\\\x00\\n\\r]"))
+    side = lambda x: x.isNull() | ~x.between(1, 8192)
     return first_problem(
-        ((kind == "text") & (F.octet_length(text) > 128_000), "text_too_long"), ((kind == "file") & (names.isNull() | (F.size(names) < 1) | bad), "file_names"),
-        ((kind == "image") & (width.isNull() | height.isNull() | (width < 1) | (height < 1) | (width > 8192) | (height > 8192) | (width.cast("long") * height > 16_777_216)), "image_size"),
+        (kind.isNull() | ~kind.isin("text", "file", "image"), "payload_type"), ((kind == "text") & (~nonblank(text) | (F.octet_length(text) > 128_000)), "text"),
+        ((kind == "file") & (names.isNull() | ~F.size(names).between(1, 20) | bad), "file_names"), ((kind == "file") & (F.size(F.array_distinct(names)) != F.size(names)), "repeated_files"),
+        ((kind == "image") & (side(width) | side(height) | (width.cast("long") * height > 16_777_216)), "image_size"),
     )
 
 
@@ -266,11 +291,28 @@ def capture_problem(text: Column, start: Column, length: Column, selected: Colum
     return first_problem((start.isNull() != length.isNull(), "half_range"), ((start < 0) | (length < 0) | (start + length > utf16_length(text)), "out_of_bounds"), (start.isNotNull() & got.isNull(), "split_surrogate"), (start.isNotNull() & (got != selected), "selection_mismatch"))
 
 
-def normalized_response(protocol: Column, response: Column) -> Column:
-    """A scorer's decision by protocol (P26): an error stays one; a recommendation is one; else abstention."""
-    error = F.coalesce(response["error"], F.lit(""))
-    direct = F.when(response["recommendedID"].isNotNull(), "recommended").otherwise("abstain")
-    return F.when(error != "", F.when(error.rlike("(?i)time.?out"), "timeout").when(error.rlike("(?i)invalid"), "invalid_request").otherwise("inference_failure")).when(protocol == "ranker", F.when(response["abstainScore"].isNull(), "invalid_request").otherwise(direct)).otherwise(direct)
+# Parts of a worker's message that name a failed model call (P26), fixed values; the worker's own model name is a parameter beside them.
+FAILED_CALLS = ("模型", "推理未完成", "本次推荐未完成")
+
+
+def normalized_response(protocol: Column, response: Column, valid_scores: Column, top: Column, skipped: Column, words: tuple[str, ...] = FAILED_CALLS) -> Column:
+    """error, decision and raw_top of a scorer's response (P26). response: error, decision, mode, message, inferenceCount, rankings array<string>.
+
+    valid_scores, top: whether a ranker's scores can be read, and the best entry by them; skipped: secure or empty episodes, which a ranker doesn't score.
+    An error that the response has stays. Of the other protocols, later rules overwrite earlier ones.
+    """
+    own = F.when(response["error"] != "", response["error"])
+    ranker = (protocol == "ranker") & ~skipped
+    fallback = response["mode"] == "fallback"
+    failed = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(response["message"], w))
+    other = (
+        F.when(fallback & F.coalesce(failed, F.lit(False)), "baseline_model_failure").when((protocol == "baseline") & fallback & (response["inferenceCount"] > 0), "baseline_model_failure")
+        .when((protocol == "jev") & (response["decision"] == "remote_unavailable"), "jev_remote_unavailable").when(response["decision"] == "invalid_request", "baseline_invalid_request")
+    )
+    error = F.when(own.isNotNull(), own).when(protocol == "ranker", F.when(ranker & ~valid_scores, "invalid_score_response")).otherwise(other)
+    decision = F.when(own.isNull() & ranker & ~valid_scores, "inference_failure").otherwise(response["decision"])
+    raw = F.when(own.isNotNull(), None).when(protocol == "ranker", F.when(ranker & valid_scores, top)).otherwise(F.get(response["rankings"], F.lit(0)))
+    return F.struct(error.alias("error"), decision.alias("decision"), raw.alias("raw_top"))
 
 
 SECRETS = r"(?i)\b(?:api[_-]?key|token|secret|password)\b\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{16,}|\bsk-[A-Za-z0-9]{20,}|\bAKIA[0-9A-Z]{16}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.expr import flag, ratio, sigmoid, wilson
+from weftline.operators import ranks
 from weftline.schemas import FAILURES
 
 
@@ -150,20 +151,20 @@ def key_group_gate(pairs: DataFrame, least: int = 30, drop: float = -0.05) -> Da
     )
 
 
-def acceptance(delta_top1: float, group_status: str, calibrator_status: str, failures: int) -> dict:
+def acceptance(delta_top1: Column, group_status: Column, calibrator_status: Column, failures: Column) -> dict[str, Column]:
     """The four criteria and whether all hold."""
-    out = {"top1_gain": delta_top1 is not None and delta_top1 >= 0.05, "key_groups": group_status == "passed", "calibrated": calibrator_status == "observed_precision_target_met", "no_failures": failures == 0}
-    return out | {"accepted": all(out.values())}
+    out = {"top1_gain": delta_top1 >= 0.05, "key_groups": group_status == "passed", "calibrated": calibrator_status == "observed_precision_target_met", "no_failures": failures == 0}
+    out = {k: F.coalesce(c, F.lit(False)) for k, c in out.items()}
+    return out | {"accepted": out["top1_gain"] & out["key_groups"] & out["calibrated"] & out["no_failures"]}
 
 
 def precision_coverage(df: DataFrame, total: int | Column) -> DataFrame:
     """Every distinct probability as a threshold (p >= threshold), with what would be recommended, precision and coverage.
 
-    Counts are cumulative over distinct thresholds only; coverage is of all `total` episodes, scoreable or not.
+    Counts are cumulative over distinct thresholds only, in ranges of them; coverage is of all `total` episodes, scoreable or not.
     """
     d = df.where("beats_abstain AND probability IS NOT NULL").groupBy(F.col("probability").alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(flag(F.col("target"))).alias("k"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    c = d.select("threshold", F.sum("n").over(w).alias("recommended"), F.sum("k").over(w).alias("correct"))
+    c = ranks.ranked(d, [F.desc("threshold")], sums={"recommended": "n", "correct": "k"}).select("threshold", "recommended", "correct")
     n = F.lit(total) if isinstance(total, int) else total
     return c.withColumns({"precision": ratio(F.col("correct"), F.col("recommended")), "coverage": ratio(F.col("recommended"), n)})
 

@@ -15,10 +15,21 @@ def by_hash(key: str, salt: str = "") -> Column:
     return F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256)
 
 
+def first_rows(df: DataFrame, strata: list[str], order: list[Column], most: int, rank: str) -> DataFrame:
+    """The first `most` rows of each stratum with their rank. The limit is a constant on the rank, so that each task keeps that many rows of a stratum before the shuffle."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col(rank) <= most)
+
+
 def take_quota(df: DataFrame, quotas: DataFrame, strata: list[str], order: list[Column], quota: str = "quota") -> DataFrame:
-    """The first `quota` rows of each stratum (W3). quotas has one small row for each stratum."""
-    w = Window.partitionBy(*strata).orderBy(*order)
-    return df.join(F.broadcast(quotas), strata).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col(quota)).drop("_rank", quota)
+    """The first `quota` rows of each stratum (W3). quotas has one row for each stratum. First the largest quota cuts every stratum on the map side, then each its own."""
+    most = quotas.agg(F.max(quota)).first()[0] or 0
+    first = first_rows(df, strata, order, int(most), "_rank")
+    return first.join(small(quotas), strata).where(F.col("_rank") <= F.col(quota)).drop("_rank", quota)
+
+
+def small(df: DataFrame, bound: int = 100_000) -> DataFrame:
+    """A dimension, broadcast if its counted rows stay below the bound."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
 def shortages(df: DataFrame, quotas: DataFrame, strata: list[str], quota: str = "quota") -> DataFrame:
@@ -52,10 +63,9 @@ def half_of_families(families: DataFrame, salt: str, key: str = "family") -> Dat
     return ranked.withColumn("half", F.when(F.col("_r") * 2 <= F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))), "fit").otherwise("threshold")).drop("_r")
 
 
-def nested_stage(df: DataFrame, sizes: list[int], strata: list[str], order: list[Column], share: dict | None = None) -> DataFrame:
-    """Adds stage_min, the smallest of the nested snapshot sizes (rows of each stratum) that holds a row, or null."""
-    r = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
+def nested_stage(df: DataFrame, sizes: list[int], strata: list[str], order: list[Column]) -> DataFrame:
+    """Rows that some of the nested snapshots (rows of each stratum) holds, with stage_min, the smallest that does."""
     out = F.lit(None).cast("int")
     for size in sorted(sizes, reverse=True):
         out = F.when(F.col("_r") <= size, size).otherwise(out)
-    return df.withColumn("_r", r).withColumn("stage_min", out).drop("_r")
+    return first_rows(df, strata, order, max(sizes), "_r").withColumn("stage_min", out).drop("_r")

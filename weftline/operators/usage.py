@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.expr import ratio
+from weftline.operators.ranks import ranked
+
+
+#: Windows in a span of recent().
+SPAN = 24
 
 
 def rollup(log: DataFrame, phase: str = "phase", model: str = "model") -> DataFrame:
@@ -47,9 +52,16 @@ def latest(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFra
 
 
 def recent(log: DataFrame, key: str, seconds: int = 3600, started: str = "started_at") -> DataFrame:
-    """Adds `recent`, the events of the key in the window that ends with each event."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(started)).rangeBetween(-seconds * 1_000_000, 0)
-    return log.withColumn("recent", F.count(F.lit(1)).over(w))
+    """Adds `recent`, the events of the key in the window that ends with each event.
+
+    The log is cut into spans of SPAN windows, each with the events of one window before it, so that a key with very many events is several tasks' work.
+    """
+    reach, span = seconds * 1_000_000, seconds * 1_000_000 * SPAN
+    at = F.unix_micros(started)
+    own = F.floor(at / span).cast("long")
+    both = log.withColumn("_own", own).withColumn("_span", F.explode(F.when(F.floor((at + reach) / span) > own, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(key, "_span").orderBy(F.unix_micros(started)).rangeBetween(-reach, 0)
+    return both.withColumn("recent", F.count(F.lit(1)).over(w)).where("_span = _own").drop("_own", "_span")
 
 
 def streaks(log: DataFrame, key: str, failed: Column, order: list[str], base: int = 60, cap: int = 900) -> DataFrame:
@@ -92,41 +104,31 @@ def best_checkpoint(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.max_by("epoch", F.struct("metric", "accuracy", -F.col("loss"), -F.col("epoch"))).alias("epoch"), F.max("metric").alias("metric"))
 
 
-def updates(n_rows: int, epochs: int, effective_batch: int) -> dict:
-    """Steps and episodes seen that a completed stage must show."""
-    steps = -(-n_rows // effective_batch)
-    return {"steps_per_epoch": steps, "steps": steps * epochs, "seen": n_rows * epochs}
+def updates(n_rows: Column, epochs: Column, effective_batch: Column, warmup: Column) -> dict[str, Column]:
+    """Optimizer steps and episodes seen that a completed stage must show (A34). Warm-up steps cycle through the whole data, its short last batch included."""
+    per_epoch = F.ceil(n_rows / effective_batch).cast("long")
+    cycles, rest = F.floor(warmup / per_epoch), warmup % per_epoch
+    return {"steps_per_epoch": per_epoch, "steps": (warmup + per_epoch * epochs).cast("long"), "seen": (cycles * n_rows + F.least(n_rows, rest * effective_batch) + n_rows * epochs).cast("long")}
 
 
-def bucketed_order(rows: DataFrame, key: str, length: str, window: int) -> DataFrame:
-    """Adds position: hash order in blocks of `window` rows, each block by length.
+def worker_budget(split: Column, ceiling: Column, most: int, initial: dict[str, int], borrowed: int, finished: Column, ready: Column) -> Column:
+    """Workers that a split may use now (T8): its own, for training also those of finished splits, within the ceiling and the executor's; none while its gate isn't ready."""
+    own = F.coalesce(*[F.when(split == k, v) for k, v in initial.items()], F.lit(0)) + F.when(split == "train", borrowed * finished).otherwise(0)
+    return F.when(ready, F.least(ceiling, F.lit(most), own)).otherwise(0).cast("long")
 
-    The block number comes from the hash order over the whole table, so ranks are taken in ranges of the hash: each range's size is
-    counted first, and ranks within it are added to the sizes before.
-    """
-    h = F.sha2(F.col(key).cast("string"), 256)
-    part = rows.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, 2))
-    sizes = part.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")  # 256 rows
-    ranked = part.join(F.broadcast(before), "_range").withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("_h")) - 1)
-    ranked = ranked.withColumn("block", F.floor(F.col("_rank") / window).cast("long"))
-    inner = F.row_number().over(Window.partitionBy("block").orderBy(length, "_h")) - 1
-    return ranked.withColumn("position", F.col("block") * window + inner).drop("_h", "_range", "_before", "_rank")
 
+def bucketed_order(rows: DataFrame, key: str, length: str, window: int) -> DataFrame:
+    """Adds position: hash order in blocks of `window` rows, each block by length."""
+    r = ranked(rows.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)), [F.col("_h")], "_rank")
+    r = r.withColumn("block", F.floor(F.col("_rank") / window).cast("long"))
+    inner = F.row_number().over(Window.partitionBy("block").orderBy(length, "_h")) - 1  # a block has a fixed size
+    return r.withColumn("position", F.col("block") * window + inner).drop("_h", "_rank")
 
-def quantile_rows(rows: DataFrame, order: str, key: str, n: int = 16) -> DataFrame:
-    """n rows evenly spaced in the order, both ends included (W6); positions round half to even.
 
-    Ranks come from counted ranges of the order, so no single task ranks the table.
-    """
+def quantile_rows(rows: DataFrame, order: str, key: str, n: int = 16) -> DataFrame:
+    """n rows evenly spaced in the order, both ends included (W6); positions round half to even."""
     total = rows.count()
     if not total:
         return rows.limit(0)
     at = sorted({round(i * (total - 1) / (n - 1)) for i in range(n)})
-    cuts = rows.select(F.percentile_approx(order, [i / 64 for i in range(1, 64)], 10000).alias("c")).first()["c"]
-    cell = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order).cast("double")))
-    part = rows.withColumn("_cell", cell)
-    sizes = part.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).drop("_n")  # at most 64 rows
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_cell").orderBy(order, key)) - 1
-    return part.join(F.broadcast(before), "_cell").withColumn("position", rank).where(F.col("position").isin(at)).drop("_cell", "_before")
+    return ranked(rows, [F.col(order), F.col(key)]).where(F.col("position").isin(at))

@@ -30,4 +30,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-from weftline.plans import evaluation, gating, pipelines, planning  # noqa: E402, F401  (each registers its queries)
+from weftline.plans import contracts, evaluation, gating, pipelines, planning  # noqa: E402, F401  (each registers its queries)

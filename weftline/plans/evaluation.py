@@ -148,13 +148,19 @@ def threshold_choice(spark, d):
     return O.choose_threshold(curve(spark, d), least=10)
 
 
-@query("calibration_fit")
+@query("calibration_fit", f"""WITH {decision_sql()}, m AS (SELECT * FROM oc WHERE error IS NULL), s AS (SELECT avg(f0) AS m0, stddev_pop(f0) AS s0, avg(f1) AS m1, stddev_pop(f1) AS s1, avg(n::DOUBLE) AS m2, stddev_pop(n::DOUBLE) AS s2, avg((NOT has_context)::INT::DOUBLE) AS m3, stddev_pop((NOT has_context)::INT::DOUBLE) AS s3, count(*) AS k FROM m)
+SELECT f AS feature, [m0, m1, m2, m3][f + 1] AS mean, CASE WHEN [s0, s1, s2, s3][f + 1] = 0 THEN 1.0::DOUBLE ELSE [s0, s1, s2, s3][f + 1] END AS scale, k::BIGINT AS rows, 0.0::DOUBLE AS gradient FROM s, range(4) t(f)""")
 def calibration_fit(spark, d):
-    """Standardization by population moments and a penalized logistic fit, by Newton steps over distributed sums."""
-    from weftline.operators.calibrate import fit
+    """Standardization by population moments and a penalized logistic fit, by Newton steps over distributed sums. The penalized likelihood's gradient at the fit, summed over all rows again, is 0 to eight digits."""
+    from weftline.operators.calibrate import fit, gradient
 
     e = decided(spark, d).where("valid")
-    return fit(e, [F.col("top_less_abstain"), F.col("top_less_second"), F.col("n_candidates").cast("double"), F.col("missing_context").cast("double")], F.col("raw_top_correct"))
+    features = [F.col("top_less_abstain"), F.col("top_less_second"), F.col("n_candidates").cast("double"), F.col("missing_context").cast("double")]
+    got = fit(e, features, F.col("raw_top_correct"))
+    g = gradient(e, features, F.col("raw_top_correct"), got.first())
+    rows = [(i, float(v)) for i, v in enumerate(g[:4])]
+    each = got.select(F.posexplode(F.arrays_zip("mean", "scale")).alias("feature", "x"), "rows").select(F.col("feature").cast("long").alias("feature"), F.col("x.mean").alias("mean"), F.col("x.scale").alias("scale"), "rows")
+    return each.join(spark.createDataFrame(rows, "feature long, g double"), "feature").select("feature", "mean", "scale", "rows", F.abs(F.round("g", 8)).alias("gradient"))
 
 
 @query("group_logloss", f"""WITH {episode_sql()}, m AS (SELECT id, max(score) AS t FROM ent GROUP BY 1), l AS (SELECT e.id, greatest(m.t, p.abstain) AS t, p.abstain, p.decide FROM ep p JOIN m USING (id) JOIN ent e USING (id) GROUP BY ALL)

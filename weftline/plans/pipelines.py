@@ -31,13 +31,13 @@ def guarded_scan(spark, d):
     return records.guarded(rows, families, "train", declared="split").select(F.col("id").cast("long").alias("id"), F.col("family_id").alias("family"))
 
 
-@query("published_snapshot", "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents WHERE doc_id % 4 = 0")
+@query("published_snapshot", "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
 def published_snapshot(spark, d):
-    """All rows as an immutable snapshot, read from its place; every fourth is returned, as the SQL has it."""
+    """All rows as an immutable snapshot, read from its place."""
     path = f"{shared.scratch(spark, 'published')}/stage"
     rows = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "lang")
     records.publish(rows, path, "doc_id", ["lang"])
-    return spark.read.parquet(f"{path}/rows").where("doc_id % 4 = 0").select("doc_id", "digest")
+    return spark.read.parquet(f"{path}/rows").select("doc_id", "digest")
 
 
 @query("resume_scan", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
@@ -95,44 +95,75 @@ def decisions_by_content(spark, d):
     return R.decisions_by_content(r, r.where("id % 10 <> 3").select("content_sha256", "label"))
 
 
+def in_files(df, order, name, n=4):
+    """A table as some files, written one after the other in an order, so that streams carry state from batch to batch. Returns the folder."""
+    path, at = shared.scratch(df.sparkSession, name), F.col(order).cast("double")
+    ends = df.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    step = ((ends["b"] or 0.0) - (ends["a"] or 0.0)) / n or 1.0
+    part = F.least(F.floor((at - (ends["a"] or 0.0)) / step), F.lit(n - 1))
+    for k in range(n):
+        df.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 @query("stream_claims", "SELECT sha256(coalesce(text, '')) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def stream_claims(spark, d):
-    """Claims over a stream of files."""
-    path = f"{d}/documents.parquet"
-    s = logs.source(spark, path, table(spark, d, "documents").schema)
-    return logs.rolling_claims(s.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "doc_id"), "digest", "doc_id")
+    """Claims over a stream of files in id order, in two runs that share a place: the second finds nothing new and the claims stand."""
+    docs = table(spark, d, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "doc_id")
+    path, place = in_files(docs, "doc_id", "claim-files"), shared.scratch(spark, "claims")
+    for _ in range(2):
+        out = logs.rolling_claims(logs.source(spark, path, docs.schema, 1), "digest", "doc_id", place=place)
+    return out
 
 
-@query("stream_pause_sessions", f"""WITH {LOG_SQL}, g AS (SELECT owner, started_at, CASE WHEN started_at - lag(started_at) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM log WINDOW w AS (PARTITION BY owner ORDER BY started_at)),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY owner ORDER BY started_at RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT owner AS user_id, min(started_at) AS first, max(started_at) AS last, count(*)::BIGINT AS events FROM s GROUP BY owner, k""")
+@query("stream_pause_sessions", f"""WITH {LOG_SQL}, g AS (SELECT owner, started_at, CASE WHEN started_at - lag(started_at) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh, max(started_at) OVER () AS top FROM log WINDOW w AS (PARTITION BY owner ORDER BY started_at)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY owner ORDER BY started_at RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT owner AS user_id, min(started_at) AS first, max(started_at) AS last, count(*)::BIGINT AS events FROM s GROUP BY owner, k, top HAVING max(started_at) + INTERVAL 6 HOUR <= top - INTERVAL 1 DAY""")
 def stream_pause_sessions(spark, d):
-    """Session windows with a watermark."""
-    s = logs.source(spark, f"{d}/events.parquet", table(spark, d, "events").schema).select("user_id", "ts")
+    """Session windows that the watermark, a day behind the newest event, has passed."""
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    s = logs.source(spark, in_files(e, "ts", "session-files"), e.schema, 1)
     out = logs.pause_sessions(s, "user_id", "ts", "6 hours")
     return out.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "events")
 
 
 @query("stream_window_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark, d):
-    """Counts by day and type."""
-    s = logs.source(spark, f"{d}/events.parquet", table(spark, d, "events").schema).select("event_type", "ts")
+    """Counts by day and type; state goes once the watermark has passed a day."""
+    e = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    s = logs.source(spark, in_files(e, "ts", "window-files"), e.schema, 1)
     return logs.windowed_counts(s, "ts", "1 day", ["event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("stream_first_alerts")
+_STEP = "row_number() OVER (PARTITION BY {k} ORDER BY ts, event_id) AS r"
+
+
+@query("stream_first_alerts", f"""WITH RECURSIVE e AS (SELECT user_id % 7 AS k, event_type, event_id, epoch_us(ts) AS t, {_STEP.format(k='user_id % 7, event_type')} FROM events),
+s AS (SELECT k, event_type, event_id, r, t AS last, TRUE AS hit FROM e WHERE r = 1 UNION ALL SELECT e.k, e.event_type, e.event_id, e.r, CASE WHEN e.t - s.last >= 36000000000 THEN e.t ELSE s.last END, e.t - s.last >= 36000000000 FROM s JOIN e ON e.k = s.k AND e.event_type = s.event_type AND e.r = s.r + 1)
+SELECT k, event_type, event_id FROM s WHERE hit""")
 def stream_first_alerts(spark, d):
-    """T5: which of several alerts within a span goes out depends on arrival, so only the rows' keys are fixed."""
-    s = logs.source(spark, f"{d}/events.parquet", table(spark, d, "events").schema).select("user_id", "event_type", "ts")
-    return logs.first_alerts(s, ["user_id", "event_type"], "ts").select("user_id", "event_type")
+    """T5: alerts of a key at least ten hours apart, with state carried over four batches."""
+    e = table(spark, d, "events").select((F.col("user_id") % 7).alias("k"), "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    s = logs.source(spark, in_files(e, "ts", "alert-files"), e.schema, 1)
+    return logs.alerts(s, ["k", "event_type"], "ts", ["event_id"], 36_000).select("k", "event_type", "event_id")
 
 
 @query("stream_failure_streaks", """WITH f AS (SELECT user_id, ts, event_id, (event_id % 3 <> 0)::INT AS f, sum((event_id % 3 = 0)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events),
 h AS (SELECT user_id, island, sum(f) AS streak FROM f GROUP BY user_id, island), g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY island DESC) AS r FROM h)
 SELECT user_id, streak::BIGINT AS streak, CASE WHEN streak > 0 THEN least(900.0::DOUBLE, 60 * pow(2.0::DOUBLE, least(streak - 1, 4))) ELSE 0.0::DOUBLE END AS pause FROM g WHERE r = 1""")
 def stream_failure_streaks(spark, d):
-    """T4: keyed state over the log."""
-    s = logs.source(spark, f"{d}/events.parquet", table(spark, d, "events").schema, 1000)
-    s = s.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("event_id") % 3 != 0).alias("failed"))
+    """T4: keyed state over the log, carried over four batches."""
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("event_id") % 3 != 0).alias("failed"))
+    s = logs.source(spark, in_files(e, "ts", "streak-files"), e.schema, 1)
     return logs.failure_streaks(s, "user_id", "failed", ["ts", "event_id"])
 
 
+@query("lease_admissions", f"""WITH RECURSIVE e AS (SELECT user_id % 7 AS k, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, (value * 40)::DOUBLE AS need, event_id % 9 = 0 AS bad, {_STEP.format(k='user_id % 7')} FROM events),
+z AS (SELECT k, 0::BIGINT AS r, 0::BIGINT AS event_id, -1e18::DOUBLE AS start, -1e18::DOUBLE AS until, []::DOUBLE[] AS leases, '' AS said FROM e WHERE r = 1
+UNION ALL SELECT k, r, event_id, CASE WHEN word = 'admitted' THEN t + 900 ELSE start END, CASE WHEN word = 'admitted' AND bad THEN greatest(until, t + need + 3600) ELSE until END, CASE WHEN word = 'admitted' THEN list_append(live, t + least(need, 40000)) ELSE live END, word
+FROM (SELECT *, CASE WHEN t < until THEN 'cooldown' WHEN t < start THEN 'interval' WHEN len(live) >= 2 THEN 'cap' ELSE 'admitted' END AS word FROM (SELECT e.k, e.r, e.event_id, e.t, e.need, e.bad, z.start, z.until, list_filter(z.leases, lambda x: x > e.t) AS live FROM z JOIN e ON e.k = z.k AND e.r = z.r + 1)))
+SELECT k, event_id, said, len(leases)::INT AS in_flight FROM z WHERE r > 0""")
+def lease_admissions(spark, d):
+    """Requests of seven accounts against two leases each, an interval between starts, and a cooldown after failures."""
+    e = table(spark, d, "events").select((F.col("user_id") % 7).alias("k"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"), (F.col("value") * 40).cast("double").alias("need"), (F.col("event_id") % 9 == 0).alias("bad"))
+    s = logs.source(spark, in_files(e, "at", "lease-files"), e.schema, 1)
+    return logs.admissions(s, "k", ["event_id"], "at", "need", "bad", cap=2, interval=900.0, longest=40_000.0, cooldown=3600.0)

@@ -199,7 +199,7 @@ def contamination_exclusion(spark, d):
     """Documents that contain no benchmark text literally."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     items = table(spark, d, "benchmark").select(F.col("text").alias("item"))
-    return D.excluded(docs, D.contained(docs, items, "text", "item").select("doc_id"), "doc_id").select("doc_id")
+    return D.excluded(docs, D.contained(docs, items, "doc_id", "text", "item").select("doc_id"), "doc_id").select("doc_id")
 
 
 @query("coverage_check", "SELECT doc_id, (d IS NOT NULL)::INT::BIGINT AS in_left, (l IS NOT NULL)::INT::BIGINT AS in_right FROM (SELECT doc_id, 1 AS d FROM documents) FULL JOIN (SELECT doc_id, 1 AS l FROM labels) USING (doc_id) WHERE d IS NULL OR l IS NULL")

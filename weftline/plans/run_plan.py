@@ -45,44 +45,77 @@ class RunPlan:
         return {"run_id": self.run_id, "run_plan_sha256": self.sha256}
 
 
-def _count(x: Any) -> bool:
+def is_count(x: Any) -> bool:
     return isinstance(x, int) and not isinstance(x, bool) and x > 0
 
 
-def _hex(x: Any) -> bool:
+def is_hash(x: Any) -> bool:
     return isinstance(x, str) and re.fullmatch("[0-9a-f]{64}", x) is not None
 
 
-def _rules(d: dict, version: str):
-    """(rule, whether it holds), in order; later rules may rely on earlier ones."""
-    yield "version", d["version"] == version
-    yield "run_id", isinstance(d["run_id"], str) and re.fullmatch("[a-z0-9][a-z0-9_-]{0,63}", d["run_id"]) is not None
-    t, h = d["split_targets"], d["hardening"]
-    yield "split_targets", isinstance(t, dict) and set(t) == set(SPLITS) and all(map(_count, t.values()))
-    yield "pilot_episodes", _count(d["pilot_episodes"]) and d["pilot_episodes"] <= t["train"]
-    yield "diagnostic_episodes", "diagnostic_episodes" not in d or (_count(d["diagnostic_episodes"]) and d["pilot_episodes"] < d["diagnostic_episodes"] < t["train"])
-    yield "hardening", isinstance(h, dict) and set(h) == HARDENING and all(map(_count, h.values()))
-    yield "hardening order", h["accepted_new"] <= h["review_nominations"] <= h["pool_episodes"] and h["retained_original"] <= t["train"]
-    yield "training route", d["training_seeds"] == SEEDS and d["epochs"] == EPOCHS and _count(d["head_warmup_steps"]) and d["effective_batch_episodes"] == BATCH
-    yield "quality_gates", d["quality_gates"] == GATES
-    for k in ("teacher_contract_version", "registration_reason", "registered_at"):
-        yield k, isinstance(d[k], str) and d[k].strip() != ""
-    for k in ("family_partition_sha256", "projection_provenance_sha256"):
-        yield k, _hex(d[k])
-    e = d["cost_evidence"]
+def is_evidence(x: Any) -> bool:
+    """A list of reports below the root, each with its hash."""
     inside = lambda p: isinstance(p, str) and not p.startswith("/") and ".." not in p.split("/")
-    yield "cost_evidence", isinstance(e, list) and bool(e) and all(isinstance(i, dict) and set(i) == {"path", "sha256"} and inside(i["path"]) and _hex(i["sha256"]) for i in e)
+    return isinstance(x, list) and bool(x) and all(isinstance(i, dict) and set(i) == {"path", "sha256"} and inside(i["path"]) and is_hash(i["sha256"]) for i in x)
 
 
-def parse(text: str, version: str = "run-plan-v1", sources: dict[str, str] | None = None) -> RunPlan:
-    """A plan from its JSON text. sources: actual hashes by field name, which must be the registered ones."""
-    d = json.loads(text)
+def counts_of(*names: str):
+    return lambda x: isinstance(x, dict) and set(x) == set(names) and all(map(is_count, x.values()))
+
+
+def filled(x: Any) -> bool:
+    return isinstance(x, str) and x.strip() != ""
+
+
+#: What each field must be by itself.
+FIELDS = {
+    "run_id": lambda x: isinstance(x, str) and re.fullmatch("[a-z0-9][a-z0-9_-]{0,63}", x) is not None, "split_targets": counts_of(*SPLITS), "pilot_episodes": is_count, "diagnostic_episodes": is_count, "hardening": counts_of(*HARDENING),
+    "training_seeds": SEEDS.__eq__, "epochs": EPOCHS.__eq__, "head_warmup_steps": is_count, "effective_batch_episodes": BATCH.__eq__, "quality_gates": GATES.__eq__, "teacher_contract_version": filled, "registration_reason": filled,
+    "registered_at": filled, "family_partition_sha256": is_hash, "projection_provenance_sha256": is_hash, "cost_evidence": is_evidence,
+}
+#: Chains of quantities (as paths) that must not fall; "<" between two of them asks for more.
+ORDERS = (
+    ("pilot_episodes", ("pilot_episodes", "split_targets.train")), ("diagnostic_episodes", ("pilot_episodes", "<", "diagnostic_episodes", "<", "split_targets.train")),
+    ("hardening", ("hardening.accepted_new", "hardening.review_nominations", "hardening.pool_episodes")), ("hardening", ("hardening.retained_original", "split_targets.train")),
+)
+
+
+def _value(d: dict, path: str):
+    for part in path.split("."):
+        d = d.get(part) if isinstance(d, dict) else None
+    return d
+
+
+def _falls(d: dict, chain: tuple[str, ...]) -> bool:
+    """Whether a chain whose quantities are all there isn't in order."""
+    names = [c for c in chain if c != "<"]
+    values = [_value(d, c) for c in names]
+    strict = "<" in chain
+    return None not in values and any(a >= b if strict else a > b for a, b in zip(values[:-1], values[1:], strict=True))
+
+
+def feasible(rows: int, families: int) -> bool:
+    """Whether balanced families get rows of all three actions (Q1, Q2): each family one at least, and the whole one of the rarest."""
+    return rows >= families and rows * 2 // 10 >= 1 and rows - rows * 7 // 10 - rows * 2 // 10 >= 1
+
+
+def problems(d: Any, version: str = "run-plan-v1", families: dict[str, int] | None = None) -> list[str]:
+    """All rules that a document breaks: its fields, their values, the order of quantities, and quotas that families can't fill (families: their number by split)."""
     if not isinstance(d, dict) or not REQUIRED <= set(d) <= REQUIRED | OPTIONAL:
-        raise PlanError("fields")
-    for rule, holds in _rules(d, version):
-        if not holds:
-            raise PlanError(rule)
-    for name, digest in (sources or {}).items():
-        if d[name] != digest:
-            raise PlanError(f"{name} changed")
+        return ["fields"]
+    out = ([] if d["version"] == version else ["version"]) + [f for f, holds in FIELDS.items() if f in d and not holds(d[f])]
+    if not out:
+        out = [name for name, chain in ORDERS if _falls(d, chain)]
+    if not out:
+        sizes = {**{s: (d["split_targets"][s], s) for s in SPLITS}, **{p: (d[f"{p}_episodes"], "train") for p in ("pilot", "diagnostic") if f"{p}_episodes" in d}}
+        out = [f"quota {name}" for name, (n, split) in sizes.items() if split in (families or {}) and not feasible(n, families[split])]
+    return out
+
+
+def parse(text: str, version: str = "run-plan-v1", sources: dict[str, str] | None = None, families: dict[str, int] | None = None) -> RunPlan:
+    """A plan from its JSON text; an error names the first rule broken. sources: actual hashes by field name, which must be the registered ones."""
+    d = json.loads(text)
+    broken = problems(d, version, families) or [f"{name} changed" for name, digest in (sources or {}).items() if d[name] != digest]
+    if broken:
+        raise PlanError(broken[0])
     return RunPlan(MappingProxyType(d), hashlib.sha256(text.encode()).hexdigest())

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.expr import canonical_json
+from weftline.operators.select import small
 from weftline.session import ship
 from weftline.sources.shared import Store, scratch, write_json
 
@@ -46,7 +47,7 @@ def guarded(df: DataFrame, families: DataFrame, split: str, key: str = "id", fam
     """The rows of a split, after its gates (S2, S3, J13): families of the split only, declared splits and bindings equal, keys unique, not empty."""
     require_unique(df, key)
     owned = families.where(F.col("split") == split).select(F.col("family_id").alias(family))
-    problems = [("family outside the split", df.join(F.broadcast(owned), family, "left_anti"))]
+    problems = [("family outside the split", df.join(small(owned), family, "left_anti"))]
     if declared:
         problems.append(("declared split", df.where(~F.col(declared).eqNullSafe(F.lit(split)))))
     problems += [(f"binding {k}", df.where(~F.col(k).eqNullSafe(F.lit(v)))) for k, v in (binding or {}).items()]

@@ -10,15 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine), a new temporary folder, set here."""
+    """The folder of spark.checkpoint.dir. Where it is unset, local mode takes a new temporary folder, set here; a cluster has no folder that all share, so that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="weftline-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file:" + tempfile.mkdtemp(prefix="weftline-")
         sc.setCheckpointDir(named)
     return named
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark resolves it: without a scheme it is on fs.defaultFS."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
@@ -77,14 +92,15 @@ def write_json(spark: SparkSession, path: str, value: dict, overwrite: bool = Fa
     Store(spark, path).write_text(path, json.dumps(value, ensure_ascii=False, sort_keys=True, allow_nan=False, separators=(",", ":")) + "\n", overwrite)
 
 
-def write_immutable_json(spark: SparkSession, path: str, value: dict) -> None:
+def write_immutable(spark: SparkSession, path: str, text: str) -> str:
     """Publishing the same again is fine, anything else is an error."""
-    store, text = Store(spark, path), json.dumps(value, ensure_ascii=False, sort_keys=True, allow_nan=False, separators=(",", ":")) + "\n"
+    store = Store(spark, path)
     if store.exists(path):
         if store.read_text(path) != text:
             raise ValueError(f"{path} is published with other content")
-        return
+        return "unchanged"
     store.write_text(path, text)
+    return "published"
 
 
 def write_once(df: DataFrame, path: str) -> None:
