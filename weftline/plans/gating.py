@@ -35,8 +35,11 @@ def label_contract_check(spark, d):
     return e.withColumn("l", label).select("id", G.label_problem(F.col("l"), F.transform("entries", lambda x: x["id"])).alias("problem"))
 
 
-_KIND_TEXT = """CASE doc_id % 10 WHEN 0 THEN '#' || substr(md5(doc_id::VARCHAR), 1, 6) WHEN 1 THEN 'user' || doc_id || '@example.org' WHEN 2 THEN 'https://example.org/' || doc_id WHEN 3 THEN '+1 (555) 010-' || lpad((doc_id % 10000)::VARCHAR, 4, '0')
-WHEN 4 THEN 'git checkout ' || doc_id WHEN 5 THEN 'def f' || doc_id || '():' WHEN 6 THEN 'a = 1' || chr(10) || 'b => {' WHEN 7 THEN 'mailto:user' || doc_id || ' x' WHEN 8 THEN '  #abc  ' ELSE coalesce(text, '') END"""
+# Clipboard texts made of documents: their first letters, their beginnings, their lines.
+_WORD = "(regexp_extract(coalesce(text, ''), '[A-Za-z]+') || doc_id)"
+_START = "substr(coalesce(text, ''), 1, 60)"
+_KIND_TEXT = f"""CASE doc_id % 12 WHEN 0 THEN '#' || substr(md5({_START}), 1, 6) WHEN 1 THEN ' ' || {_WORD} || '@example.org' WHEN 2 THEN 'https://example.org/' || {_WORD} WHEN 3 THEN '+1 (555) 010-' || lpad((n_chars % 10000)::VARCHAR, 4, '0')
+WHEN 4 THEN 'git ' || {_START} WHEN 5 THEN 'def ' || {_START} WHEN 6 THEN {_START} || chr(10) || 'b => {{' WHEN 7 THEN 'mailto:' || {_WORD} || ' x' WHEN 8 THEN 'ftp://' || {_START} WHEN 9 THEN '#' || {_WORD} ELSE coalesce(text, '') END"""
 
 
 @query("kind_classifier", rf"""WITH t AS (SELECT doc_id, {_KIND_TEXT} AS x FROM documents), s AS (SELECT doc_id, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM t)
@@ -45,18 +48,27 @@ WHEN regexp_matches(x, '^[+()0-9 .-]{{7,25}}$') AND len(regexp_replace(x, '[^0-9
 WHEN regexp_matches(x, '^((import|func|let|const|def|class|struct|SELECT) |#!/)') OR (contains(x, chr(10)) AND (contains(x, '{{') OR contains(x, '=>'))) THEN 'code' ELSE 'text' END AS kind FROM s""")
 def kind_classifier(spark, d):
     """P20."""
-    x, n = F.col("doc_id"), F.col("doc_id").cast("string")
-    t = cases(x, F.concat(F.lit("#"), F.substring(F.md5(n), 1, 6)), F.concat(F.lit("user"), n, F.lit("@example.org")), F.concat(F.lit("https://example.org/"), n), F.concat(F.lit("+1 (555) 010-"), F.lpad((x % 10000).cast("string"), 4, "0")),
-              F.concat(F.lit("git checkout "), n), F.concat(F.lit("def f"), n, F.lit("():")), "a = 1\nb => {", F.concat(F.lit("mailto:user"), n, F.lit(" x")), "  #abc  ", F.col("text"))
-    return docs(spark, d).select("doc_id", text_kind(t).alias("kind"))
+    x, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    word, start = F.concat(F.regexp_extract(t, "[A-Za-z]+", 0), x.cast("string")), F.substring(t, 1, 60)
+    c = cases(x, F.concat(F.lit("#"), F.substring(F.md5(start), 1, 6)), F.concat(F.lit(" "), word, F.lit("@example.org")), F.concat(F.lit("https://example.org/"), word), F.concat(F.lit("+1 (555) 010-"), F.lpad((F.col("n_chars") % 10000).cast("string"), 4, "0")),
+              F.concat(F.lit("git "), start), F.concat(F.lit("def "), start), F.concat(start, F.lit("\nb => {")), F.concat(F.lit("mailto:"), word, F.lit(" x")), F.concat(F.lit("ftp://"), start), F.concat(F.lit("#"), word), t, t)
+    return table(spark, d, "documents").select("doc_id", text_kind(c).alias("kind"))
 
 
-@query("surface_classifier", """SELECT doc_id, ['recipient', 'recipient', 'search', 'address_bar', 'shell_prompt', 'code_editor', 'chat_composer', 'color', 'file_path', 'text', 'unknown', 'recipient'][doc_id % 12 + 1] AS surface FROM documents""")
+_LABELS = ["To ", "cc: ", "Search ", "The {} Address Bar", "{} terminal prompt", "Source editor {}", "{} message composer", "hex color", "Folder path", "{}", "tool {}", "finder {}", "收件人"]
+_LABEL_SQL = "replace([" + ", ".join(f"'{x}'" for x in _LABELS) + "][doc_id % 13 + 1], '{}', regexp_extract(coalesce(text, ''), '[A-Za-z]+')) || CASE WHEN doc_id % 13 < 3 THEN regexp_extract(coalesce(text, ''), '[A-Za-z]+') ELSE '' END"
+
+
+@query("surface_classifier", rf"""WITH l AS (SELECT doc_id, {_LABEL_SQL} AS label, doc_id % 4 = 1 AS area FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(label, '(?i)^(to|cc|bcc|recipient|recipients|收件人|抄送|密送)(\b|$)') THEN 'recipient' WHEN regexp_matches(label, '(?i)address bar|location bar|地址栏|网址栏') THEN 'address_bar' WHEN regexp_matches(label, '(?i)^(search|find|搜索|查找)(\b|$)') THEN 'search'
+WHEN regexp_matches(label, '(?i)shell prompt|terminal prompt|终端命令') THEN 'shell_prompt' WHEN regexp_matches(label, '(?i)code editor|source editor|代码编辑') THEN 'code_editor' WHEN regexp_matches(label, '(?i)message composer|chat input|聊天输入|消息输入') THEN 'chat_composer'
+WHEN regexp_matches(label, '(?i)^(hex color|color value|颜色值|色值)$') THEN 'color' WHEN regexp_matches(label, '(?i)^(file path|folder path|文件路径|目录路径)$') THEN 'file_path' WHEN area THEN 'text' ELSE 'unknown' END AS surface FROM l""".replace("\\\\b", "\\b"))
 def surface_classifier(spark, d):
-    """Twelve labels and what they are."""
-    x = F.col("doc_id")
-    label = cases(x, "To", "CC: team", "Search docs", "The Address Bar", "Terminal prompt", "Source editor pane", "Message composer", "Hex color", "folder path", "Notes", "Notes", "收件人")
-    return docs(spark, d).select("doc_id", input_surface(label, F.when(x % 12 == 9, "AXTextArea").otherwise("AXButton")).alias("surface"))
+    """Labels with words of the documents in them."""
+    x, word = F.col("doc_id"), F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0)
+    label = F.replace(F.element_at(F.array(*map(F.lit, _LABELS)), (x % 13 + 1).cast("int")), F.lit("{}"), word)
+    label = F.concat(label, F.when(x % 13 < 3, word).otherwise(""))
+    return table(spark, d, "documents").select("doc_id", input_surface(label, F.when(x % 4 == 1, "AXTextArea").otherwise("AXButton")).alias("surface"))
 
 
 def _around(x):
@@ -181,7 +193,7 @@ def candidate_summaries(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", G.candidate_summary(F.col("role"), F.coalesce("text", F.lit(""))).alias("summary"))
 
 
-@query("request_failures", """WITH x AS (SELECT event_id, [200, 401, 402, 403, 403, 403, 403, 403, 403, 429, 500][event_id % 11 + 1] AS status, ['', '', '', '5-hour limit', 'weekly cap', 'this month', 'concurrent use', 'usage limit', 'no', '', ''][event_id % 11 + 1] AS m FROM events)
+@query("request_failures", """WITH x AS (SELECT event_id, [200, 401, 402, 403, 403, 403, 403, 403, 403, 429, 500][event_id % 11 + 1] AS status, ['', '', '', '5-hour limit', 'weekly cap', 'this month', 'concurrent use', 'usage limit', 'no', '', ''][event_id % 11 + 1] AS k, event_type || ' ' || k || ' ' || coalesce(props, '') AS m FROM events)
 SELECT event_id, CASE WHEN status = 403 THEN CASE WHEN m LIKE '%5-hour%' THEN 'quota_5h' WHEN m LIKE '%weekly%' THEN 'quota_weekly' WHEN m LIKE '%month%' THEN 'quota_monthly' WHEN m LIKE '%concurrent%' THEN 'account_concurrent_restriction' WHEN m LIKE '%usage limit%' THEN 'quota_unknown_reset' ELSE 'permission_denied' END
 WHEN status = 401 THEN 'authentication_or_model_entitlement' WHEN status = 402 THEN 'membership_status' WHEN status = 429 THEN 'short_term_rate_or_overload' ELSE 'transient_http_error' END AS reason,
 CASE WHEN status = 403 THEN CASE WHEN m LIKE '%5-hour%' THEN 18000 WHEN m LIKE '%weekly%' THEN 604800 WHEN m LIKE '%month%' THEN 2678400 ELSE -1 END WHEN status IN (401, 402) THEN -1 ELSE 0 END::BIGINT AS pause FROM x""")
@@ -190,7 +202,8 @@ def request_failures(spark, d):
     x = F.col("event_id")
     status = cases(x, *[F.lit(s) for s in (200, 401, 402, 403, 403, 403, 403, 403, 403, 429, 500)])
     body = cases(x, "", "", "", "5-hour limit", "weekly cap", "this month", "concurrent use", "usage limit", "no", "", "")
-    e = table(spark, d, "events").select("event_id", request_failure(status, body).alias("reason"))
+    said = F.concat(F.initcap("event_type"), F.lit(" "), body, F.lit(" "), F.coalesce("props", F.lit("")))  # the provider's words stand among others
+    e = table(spark, d, "events").select("event_id", request_failure(status, said).alias("reason"))
     return e.withColumn("pause", F.coalesce(failure_pause(F.col("reason")), F.lit(-1)).cast("long"))
 
 

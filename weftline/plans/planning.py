@@ -93,7 +93,14 @@ def observation_assignments(spark, d):
     return A.observation_supplement(s, s.where("slot % 5 = 0").select("family", "slot"), "supplement")
 
 
-@query("source_cover_order")
+@query("source_cover_order", f"""WITH RECURSIVE {POOL_SQL}, s AS (SELECT split, id // 50 AS position, family || '/' || bucket AS stratum, count(*) AS n FROM pool WHERE bucket IS NOT NULL GROUP BY ALL), u AS (SELECT DISTINCT split, stratum FROM s), b AS (SELECT DISTINCT split, position FROM s),
+g AS (SELECT split, 0 AS turn, -1::BIGINT AS position, []::BIGINT[] AS taken, MAP_FROM_ENTRIES(list((stratum, 3::BIGINT))) AS missing FROM u GROUP BY split
+UNION ALL SELECT split, turn + 1, best, list_append(taken, best), map_from_entries(list_transform(map_entries(missing), lambda e: {{'k': e.key, 'v': greatest(0, e.value - coalesce(gives[e.key], 0))}})) FROM (
+  SELECT g.split, g.turn, g.taken, g.missing, arg_max(c.position, (c.gain, -c.position)) AS best, max(c.gain) AS gain, arg_max(c.gives, (c.gain, -c.position)) AS gives
+  FROM g JOIN (SELECT split, position, map_from_entries(list((stratum, n))) AS gives FROM s GROUP BY ALL) x ON x.split = g.split AND NOT list_contains(g.taken, x.position),
+  LATERAL (SELECT x.position AS position, x.gives AS gives, list_sum(list_transform(map_entries(x.gives), lambda e: least(e.value, g.missing[e.key]))) AS gain) c GROUP BY g.split, g.turn, g.taken, g.missing) WHERE gain > 0),
+o AS (SELECT split, position, turn FROM g WHERE turn > 0)
+SELECT split, position, turn::BIGINT AS turn FROM o UNION ALL SELECT split, position, (SELECT count(*) FROM o WHERE o.split = r.split) + row_number() OVER (PARTITION BY split ORDER BY position) FROM (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.split = b.split AND o.position = b.position)) r""")
 def source_cover_order(spark, d):
     """Greedy cover of missing strata by batches of fifty documents."""
     p = pool(spark, d).where("bucket IS NOT NULL")
