@@ -2,7 +2,8 @@
 
 The distinct marked words of a slice that the worker hasn't met are sorted, which makes them a trie in depth-first order:
 each word shares with its predecessor the forward states of their common prefix, and only the rest is extended. A forward
-state at a position is the best path's score, its last piece and where that piece starts.
+state at a position is the best path's score, its last piece and where that piece starts, with the starts from which a longer
+piece is still possible: what is tried at the next position follows from these, not from the longest piece.
 
 For a unigram model an arc adds its piece's score. A BPE model has ranks, not additive scores, and the highest sum of them
 isn't what the library returns. There an arc from piece a to piece b is open (score 0) if a and b, merged by rank as one
@@ -11,7 +12,8 @@ prefix don't depend on what follows, and a merge across a border shows in the tw
 
 The memory of a task is bounded by the vocabulary, two bounded caches and a slice of text; there is no shuffle.
 Defined cases: a null or empty text has no pieces and decodes to the empty text. Repeated rows are encoded row by row; extra
-columns are ignored by `encode`. Characters outside the vocabulary become byte pieces. U+2581 in a text is a space, as in the
+columns are ignored by `encode`. In a list to decode, a null id gives nothing and an id outside the vocabulary the unknown piece's
+text. Characters outside the vocabulary become byte pieces. U+2581 in a text is a space, as in the
 library, and decodes to one.
 """
 
@@ -27,6 +29,8 @@ from weftline.llm.pieces import MARK, IdCache, hash_spans, marked_words, piece_m
 from weftline.llm.spans import slices
 
 PAIRS = 250_000
+#: Stands for a null id.
+NOTHING = np.iinfo(np.int64).min
 _coders: dict[str, "PieceCoder"] = {}
 
 
@@ -36,7 +40,9 @@ class PieceCoder:
     def __init__(self, path: str, unigram: bool | None = None):
         self.score, self.ids, self.byte, kind, self.unknown = piece_model(path)
         self.unigram = kind == 1 if unigram is None else unigram
-        self.longest = max(map(len, self.score))
+        # each piece's score, and each string that a longer piece begins with: (score or None, whether it goes on)
+        fronts = {p[:k] for p in self.score for k in range(1, len(p))}
+        self.known = {x: (self.score.get(x), x in fronts) for x in fronts | self.score.keys()}
         self.floor = min(self.score.values()) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
         self.strings = {i: p for p, i in self.ids.items()}
@@ -66,12 +72,14 @@ class PieceCoder:
             got = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return got
 
-    def extend(self, word: str, j: int, states: list) -> tuple[float, str, int]:
+    def extend(self, word: str, j: int, states: list) -> tuple[float, str, int, list[int]]:
         """The forward state at position j, from those before it."""
-        best = None
-        for i in range(max(0, j - self.longest), j):
+        best, live = None, []
+        for i in (*states[j - 1][3], j - 1):
             piece = word[i:j]
-            s = self.score.get(piece)
+            s, longer = self.known.get(piece, (None, False))
+            if longer:
+                live.append(i)
             if s is None:
                 if i < j - 1:
                     continue
@@ -80,16 +88,16 @@ class PieceCoder:
                 total = states[i][0] + s
                 if best is None or total > best[0]:
                     best = (total, piece, i)
-            elif self.open_arc(states[i][1], piece) if i else self.merge(piece) == [piece]:
-                return 0.0, piece, i
+            elif best is None and (self.open_arc(states[i][1], piece) if i else self.merge(piece) == [piece]):
+                best = (0.0, piece, i)
         if best is None:
             raise AssertionError(f"no path to {word[:j]!r}")
-        return best
+        return *best, live
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word; words are visited in sorted order, so that common prefixes are scored once."""
         out: list[list[int]] = [[] for _ in words]
-        states: list = [(0.0, "", 0)]
+        states: list = [(0.0, "", 0, [])]
         before = ""
         for k in sorted(range(len(words)), key=words.__getitem__):
             word = words[k]
@@ -101,7 +109,7 @@ class PieceCoder:
                 states.append(self.extend(word, j, states))
             path, j = [], len(word)
             while j:
-                _, piece, i = states[j]
+                _, piece, i, _ = states[j]
                 path.append(piece)
                 j = i
             for piece in reversed(path):
@@ -130,6 +138,8 @@ class PieceCoder:
     def decode_slice(self, ids: np.ndarray, offs: np.ndarray) -> list[str]:
         """The texts of id lists: pieces are joined, marks become spaces, the space put before each text goes, runs of byte pieces become UTF-8."""
         size, blob, at = self._tables()
+        top = len(size) - 1
+        ids = np.where(ids == NOTHING, top, np.where((ids < 0) | (ids >= top), self.unknown, ids))
         n = size[ids]
         begin = np.cumsum(n) - n
         flat = blob[np.arange(int(n.sum())) + np.repeat(at[ids] - begin, n)]
@@ -140,7 +150,7 @@ class PieceCoder:
     def _tables(self):
         if not hasattr(self, "_table"):
             mark, top = MARK.decode(), max(max(self.strings), max(self.bytes_of, default=0)) + 1
-            parts = [self.strings[i].replace(mark, " ").encode() if i in self.strings else bytes([self.bytes_of[i]]) if i in self.bytes_of else b" \xe2\x81\x87 " if i == self.unknown else b"" for i in range(top)]
+            parts = [self.strings[i].replace(mark, " ").encode() if i in self.strings else bytes([self.bytes_of[i]]) if i in self.bytes_of else b" \xe2\x81\x87 " if i == self.unknown else b"" for i in range(top)] + [b""]
             size = np.array([len(p) for p in parts])
             self._table = size, np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size
         return self._table
@@ -175,7 +185,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "piece_ids
             part = batch.slice(lo, 256)
             lists = part.column(1)
             size = np.array([0 if n is None else n for n in pc.list_value_length(lists).to_pylist()], np.int64)
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = lists.flatten().cast(pa.int64()).fill_null(NOTHING).to_numpy()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c.decode_slice(ids, np.concatenate(([0], np.cumsum(size)))), pa.string())], names=[id_col, "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
