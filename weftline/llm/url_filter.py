@@ -132,27 +132,39 @@ def _split(url: str) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:stop]), path[: min((i for i in map(path.find, "?#") if i >= 0), default=len(path))]
 
 
-#: A small labelled URL table: sites that sell pills, gamble, track, phish or spam, and ordinary ones, in several shapes.
-_BLOCK_HOSTS = (
-    "pills-online", "buy-pills", "online-casino", "casino-bonus", "free-casino", "adserver", "ad-click", "click-tracker",
-    "banner-ads", "popads", "free-money", "win-prize", "prize-winner", "lottery-win", "adult-cams", "xxx-video", "porn-tube", "hot-singles", "sex-chat", "replica-watches",
-    "cheap-viagra", "viagra-shop", "crypto-doubler", "phish-login", "secure-login-verify", "malware-download", "crack-keygen", "warez-full", "torrent-crack", "spam-mailer",
-    "payday-loan", "quick-loans", "bet-now", "poker-bonus", "slots-free", "escort-girls", "miracle-diet", "link-farm", "content-farm", "spam-blog",
+# A small labelled URL table, made by rule: what junk sites and ordinary sites are about, each with names of the same shapes, hyphens included.
+BLOCK_TOPICS = (
+    "casino", "poker", "slots", "betting", "jackpot", "roulette", "lottery", "viagra", "pills", "pharmacy", "replica", "payday", "loans", "escorts", "porn", "xxx", "adult", "webcam", "spam", "mailer",
+    "tracker", "adserver", "adsense", "popunder", "clickbait", "malware", "phishing", "keygen", "warez", "torrent", "cracked", "giveaway", "miracle", "weightloss",
 )
-_ALLOW_HOSTS = (
-    "news", "library", "university", "museum", "weather", "garden", "kitchen", "history", "science", "physics", "school", "travel", "maps", "music", "books", "recipes", "health",
-    "sports", "football", "railway", "archive", "journal", "gazette", "council", "cityhall", "hospital", "language", "dictionary", "forum", "docs", "support", "research",
-    "theatre", "cinema", "nature", "birds", "rivers", "mountains", "letters", "poetry", "reading",
+ALLOW_TOPICS = (
+    "news", "library", "university", "museum", "weather", "garden", "kitchen", "history", "science", "physics", "school", "travel", "maps", "music", "books", "recipes", "health", "sports", "football",
+    "railway", "archive", "journal", "gazette", "council", "hospital", "language", "dictionary", "forum", "docs", "support", "research", "theatre", "cinema", "nature", "birds", "rivers", "mountains", "poetry",
+    "blogger", "overflow", "institute", "academy", "charity", "parks",
 )
+SHAPES = ("{}", "my-{}", "the{}", "{}-online", "{}hub", "best-{}", "{}24", "{}-zone", "city{}", "new-{}-site")
+ZONES, FRONTS = ("example.net", "example.com", "example.org", "org", "net", "com", "info"), ("", "www.", "m.", "blog.")
+TAILS = ("/en/1204", "/de/88/", "/fr/7.html", "/", "/2024/05/item", "")
+CONSONANTS, VOWELS = "bdfgklmnprstvz", "aeiou"
+
+
+def brand(i: int) -> str:
+    """The i-th made-up name of three or four syllables: ordinary sites are often called like that."""
+    out, x = "", i * 7919 + 13
+    for _ in range(3 + i % 2):
+        x, c = divmod(x, len(CONSONANTS))
+        x, v = divmod(x + i, len(VOWELS))
+        out += CONSONANTS[c] + VOWELS[v]
+        x += 1 + i * (c + 1)
+    return out
+
+
+def labelled_names() -> list[tuple[str, str, int]]:
+    """(topic, host name, 1 for block or 0 for allow) of the table."""
+    made = [brand(i) for i in range(60)]
+    return [(t, shape.format(t), y) for y, topics in ((1, BLOCK_TOPICS), (0, (*ALLOW_TOPICS, *made))) for t in topics for shape in SHAPES]
 
 
 def default_labelled() -> list[tuple[str, int]]:
-    """The labelled URL table of the registered query, made by rule from the two host lists above."""
-    out = []
-    tails = ("/en/1204", "/de/88/", "/fr/7.html", "/", "/2024/05/item", "")
-    for y, names in ((1, _BLOCK_HOSTS), (0, _ALLOW_HOSTS)):
-        for i, name in enumerate(names):
-            for j, front in enumerate(("", "www.", "m.", "blog.")):
-                zone = ("example.net", "example.com", "example.org", "org", "net", "com", "info")[(i + 2 * j) % 7]
-                out.append((f"https://{front}{name}.{zone}{tails[(i + j) % len(tails)]}", y))
-    return out
+    """The labelled URL table of the registered query. Zones, fronts and paths go through the same turns in both classes, so only names tell them apart."""
+    return [(f"https://{FRONTS[i % len(FRONTS)]}{name}.{ZONES[i % len(ZONES)]}{TAILS[i % len(TAILS)]}", y) for y in (1, 0) for i, (_, name, _) in enumerate(x for x in labelled_names() if x[2] == y)]
