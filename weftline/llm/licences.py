@@ -90,17 +90,39 @@ def known_forms() -> list[tuple[str, str]]:
     return out
 
 
-def oracle() -> str:
-    """licence_matches() over documents as DuckDB SQL."""
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def oracle(docs: str = "documents") -> str:
+    """licence_matches() over a table as DuckDB SQL, with all known texts and equivalent words."""
     same = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in SPELLINGS.items()) + "}"
-    values = ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in KNOWN.items())
+    values = ", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in known_forms())
     form = r"list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '" + COPYRIGHT_LINE + r"', ' ', 'g'), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-    sha = f"sha256(array_to_string(list_transform(w, lambda x: coalesce({same}[x], x)), ' '))"
+    unify = f"array_to_string(list_transform(w, lambda x: coalesce({same}[x], x)), ' ')"
+    key = "(' ' || replace(t, ' ', '  ') || ' ')"
+    for found, put in EQUIVALENT:
+        key = "replace({}, ' {} ', ' {} ')".format(key, found.replace(" ", "  "), put.replace(" ", "  "))
     return f"""
 WITH known(licence_id, text) AS (VALUES {values}),
-digests AS (SELECT digest, min(licence_id) AS licence_id FROM (SELECT licence_id, {sha} AS digest FROM (SELECT licence_id, {form} AS w FROM known) WHERE len(w) > 0) GROUP BY 1),
-own AS (SELECT doc_id, {sha} AS digest FROM (SELECT doc_id, {form} AS w FROM documents))
-SELECT doc_id, digest, licence_id FROM own LEFT JOIN digests USING (digest)"""
+forms AS (SELECT licence_id, {unify} AS t FROM (SELECT licence_id, {form} AS w FROM known) WHERE len(w) > 0),
+keys AS (SELECT sha256({key}) AS key, min(licence_id) AS licence_id FROM forms GROUP BY 1),
+own AS (SELECT doc_id, {unify} AS t FROM (SELECT doc_id, {form} AS w FROM {docs}))
+SELECT doc_id, sha256(t) AS digest, licence_id FROM own LEFT JOIN keys ON key = sha256({key})"""
+
+
+def variants(docs: DataFrame) -> DataFrame:
+    """A stand-in table: two of three documents are a short known licence in capitals, under another year's copyright line and with other spellings; the third is as it is. Columns: doc_id, text."""
+    texts = F.array(*[F.lit(t) for t in KNOWN.values()])
+    known = F.element_at(texts, (F.col("doc_id") % len(KNOWN) + 1).cast("int"))
+    changed = F.concat(F.lit("Copyright (c) 19"), (F.col("doc_id") % 90 + 10).cast("string"), F.lit(" "), F.col("source"), F.lit("\n\n"), F.upper(F.replace(known, F.lit("sublicense"), F.lit("sub-license"))))
+    return docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(changed).alias("text"))
+
+
+def variants_sql() -> str:
+    """variants() of documents as an SQL query."""
+    texts = "[" + ", ".join(map(_sql_text, KNOWN.values())) + "]"
+    return f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Copyright (c) 19' || (doc_id % 90 + 10) || ' ' || source || chr(10) || chr(10) || upper(replace({texts}[doc_id % {len(KNOWN)} + 1], 'sublicense', 'sub-license')) END AS text FROM documents"
 
 
 _AS_IS = (

@@ -64,9 +64,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def licence_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's operator where there is something to find: documents of which two in three are made known licences, with other spellings, case and copyright lines."""
+    return licences.licence_matches(licences.variants(table(spark, sf_dir, "documents")), licences.known_licences(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_url_filters, op3_decontamination, op4_license_scan, op5_toxicity, op6_token_files, op7_sentencepiece, op8_lm_scores, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_url_filters, op3_decontamination, op4_license_scan, op5_toxicity, op6_token_files, op7_sentencepiece, op8_lm_scores, op9_quality_rules, op10_token_counts, licence_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.oracle(), "op4_license_scan": licences.oracle()}
+    return {"op3_decontamination": decontaminate.oracle(), "op4_license_scan": licences.oracle(), "licence_variants": licences.oracle(f"({licences.variants_sql()})")}

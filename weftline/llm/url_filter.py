@@ -140,7 +140,7 @@ BLOCK_TOPICS = (
 ALLOW_TOPICS = (
     "news", "library", "university", "museum", "weather", "garden", "kitchen", "history", "science", "physics", "school", "travel", "maps", "music", "books", "recipes", "health", "sports", "football",
     "railway", "archive", "journal", "gazette", "council", "hospital", "language", "dictionary", "forum", "docs", "support", "research", "theatre", "cinema", "nature", "birds", "rivers", "mountains", "poetry",
-    "blogger", "overflow", "institute", "academy", "charity", "parks",
+    "blogger", "overflow", "institute", "academy", "charity", "parks", "cooking", "gardening", "hiking", "painting", "writing", "building", "learning", "engineering", "housing", "parenting", "farming", "sailing",
 )
 SHAPES = ("{}", "my-{}", "the{}", "{}-online", "{}hub", "best-{}", "{}24", "{}-zone", "city{}", "new-{}-site")
 ZONES, FRONTS = ("example.net", "example.com", "example.org", "org", "net", "com", "info"), ("", "www.", "m.", "blog.")
