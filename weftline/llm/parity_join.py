@@ -9,18 +9,24 @@ a linked pair may have there, so such a pair agrees in at least blocks - k of th
 if it could link there. A block's join key is a digest of what was XOR-ed into it. Blocks without a rare shingle are weak: empty ones,
 and those made of passages that very many documents share (a bounded list, estimated on every SAMPLE-th document; any list gives the
 same links). Equal blocks are equally weak, so a set with fewer than blocks - k weak ones needs only its strong blocks as keys; any
-other takes part in a further, independent sketch, and in the last one with all blocks. No link is lost, whatever the sizes.
-
-Equal sets are one class (an aggregate), of which only a representative joins. Keys are sorted by ranges of (key, id), so a key
-of any frequency spreads over tasks, and one pass over the sorted rows gives groups with leaders. Each member of a group is tried
-against the leader that it shares most keys with, by a folded sketch's Hamming distance and then by its exact set. What is linked is
-contracted to components; a group within one component is done. While the pairs left are very many for the rows, other leaders are
-tried; at last all pairs of different components that share a key are compared by sketch, within the join, and by set if that passes.
-So pairs within a group of linked copies are never made, and no link between components is missed.
+other takes part in a further, independent sketch. In the last one such sets, mostly made of shared passages, take their rare shingles as
+keys, and their weak blocks if they have few rare ones: a linked pair shares a rare shingle, or their excesses (rare shingles less what
+the bound allows a set of that size) add up to 0 at most. So texts of one passage with different additions are compared only where the
+additions are small enough to link. No link is lost, whatever the sizes.
+
+Equal sets are one class (an aggregate), of which only a representative joins. Keys are hashed to partitions; hot ones (by the sample,
+a bounded list) are dealt over partitions by id, and their parts are joined by later rounds. One pass over the sorted rows gives groups
+with leaders. Each member of a group is tried against the leaders that it shares most keys with, by a folded sketch's Hamming distance and
+then by its exact set. What is linked is contracted to components; a group within one component is done. Then rows outside a group's largest component are
+tried against some members of that, once and as long as the pairs left are very many for the rows; at last they
+are compared with the whole group, in cells, by sketch and excess within the join, and by set if that passes.
+So pairs within a group of linked copies are never made, and no link between components is missed. What the join gives is components;
+links within one component aren't all made.
 
 Shingles are told apart by 64-bit hashes. Defined cases: null, empty and wordless texts have an empty set and link with nothing; a
-text with fewer words than n has its whole sequence as the one shingle. Rows that share an id are one node: they're in one component.
-A null id is in no component (null). An empty table gives no rows. Extra columns are ignored by `jaccard_components`, kept by `drop_near_copies`.
+text with fewer words than n has its whole sequence as the one shingle. Ids are whole numbers (others are refused). Rows that share an id are
+one node: they're in one component. A null id is in no component (null). An empty table gives no rows. Extra columns are ignored by
+`jaccard_components`, kept by `drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -32,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import arrow_map, by_ids, materialize, release
+from weftline.llm.common import HOT_ROWS, arrow_map, by_ids, hot_join, materialize, most_frequent, release, whole_number_ids
 from weftline.llm.components import components
 from weftline.llm.spans import U64, Words, mix, shingle_sets, slices
 
 GROWTH, FAMILIES, FOLD = 1.4, 3, 16
 #: Shingles in COMMON_DOCS or more of every SAMPLE-th document are common; at most COMMON of them are listed.
 SAMPLE, COMMON_DOCS, COMMON = 32, 4, 1 << 17
+#: Leaders that a row is tried against in a round, and those of a group in later rounds.
+TRIES, LEADERS = 2, 4
 #: Rounds of leaders go on while more pairs than this, for each grouped row, are left to compare.
 PAIRS_PER_ROW, ROUNDS = 256, 8
 #: Groups of more rows are compared in cells of about CELL by CELL.
@@ -60,8 +68,8 @@ def sets_of(raw: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return doc, h, np.bincount(doc, minlength=len(offs) - 1)
 
 
-def _digest_rows(raw: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """Set size, two order-free digests, and the folded parity sketch (FOLD words) of each document."""
+def _digest_rows(raw: np.ndarray, offs: np.ndarray, n: int, common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Set size, two order-free digests, the folded parity sketch (FOLD words), and the number of rare shingles of each document."""
     doc, h, size = sets_of(raw, offs, n)
     n_docs = len(size)
     m1, m2 = mix(h ^ U64(0x1B873593CC9E2D51)), mix(h ^ U64(0x52DCE729DA3E39CB))
@@ -71,7 +79,7 @@ def _digest_rows(raw: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray,
         d1, d2 = run1[at[1:]] - run1[at[:-1]], run2[at[1:]] - run2[at[:-1]]
     fold = np.zeros(n_docs * FOLD, U64)
     np.bitwise_xor.at(fold, doc * FOLD + ((m1 >> U64(6)) % U64(FOLD)).astype(np.int64), U64(1) << (m1 & U64(63)))
-    return size, d1, d2, fold.reshape(n_docs, FOLD)
+    return size, d1, d2, fold.reshape(n_docs, FOLD), np.bincount(doc[rare_of(h, common)], minlength=n_docs)
 
 
 def band_blocks(edges: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +90,13 @@ def band_blocks(edges: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.n
     return k + spare, spare
 
 
+def rare_of(h: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which shingles aren't in the sorted list of common ones."""
+    return common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h if len(common) else np.ones(len(h), bool)
+
+
 def block_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of every sketch block that joins. common: sorted hashes of shingles that make no block strong."""
+    """(document, key) of every sketch block and rare shingle that joins; keys of weak blocks are odd, all others even. common: sorted hashes of shingles that make no block strong."""
     edges = bands(int(size.max()) if len(size) else 1)
     all_blocks, all_spare = band_blocks(edges, num, den)
     own = np.searchsorted(edges, size, "right") - 1
@@ -91,10 +104,8 @@ def block_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den:
     upper = some[size[some] * den >= num * edges[own[some] + 1]]
     member, band = np.concatenate((some, upper)), np.concatenate((own[some], own[upper] + 1))
     first = np.concatenate(([0], np.cumsum(size)))
-    if len(common):
-        rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
-    else:
-        rare = np.ones(len(h), bool)
+    rare = rare_of(h, common)
+    n_rare = np.bincount(doc[rare], minlength=len(size))
     docs, keys = [], []
     for family in range(FAMILIES):
         if not len(member):
@@ -111,53 +122,55 @@ def block_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den:
         strong[cell[rare[source]]] = True
         of = np.repeat(np.arange(len(member)), blocks)
         weak = blocks - np.bincount(of[strong], minlength=len(member))
-        last = family == FAMILIES - 1
-        use = np.ones(len(of), bool) if last else strong
+        again = weak >= all_spare[band]
+        use = strong
+        if family == FAMILIES - 1:
+            # excess() of a document in this band is at least r * (den + num) - (largest size) * (den - num)
+            pure = n_rare[member] * (den + num) <= 2 * (edges[band + 1] - 1) * (den - num)
+            use = strong | (again & pure)[of]
+            rows = again[place] & rare[source]
+            _, once = np.unique(source[rows], return_index=True)
+            docs.append(doc[source[rows][once]])
+            keys.append(mix(h[source[rows][once]] ^ U64(0x7F4A7C15F39CC060)) & ~U64(1))
         at = of[use]
         with np.errstate(over="ignore"):
             label = ((band[at] * 8 + family).astype(U64) << U64(40)) + (np.flatnonzero(use) - base[at]).astype(U64)
-            keys.append(mix(sketch[use] ^ mix(label)))
+            keys.append((mix(sketch[use] ^ mix(label)) & ~U64(1)) | (~strong[use]).astype(U64))
         docs.append(member[at])
-        again = weak >= all_spare[band]
         member, band = member[again], band[again]
     return (np.concatenate(docs), np.concatenate(keys)) if docs else (np.empty(0, np.int64), np.empty(0, U64))
 
 
-def _grouped(batches):
-    """From rows (key, id) in order: (key, id, leader) of groups of two or more; the first and last group of the partition in any case."""
-    held: pa.RecordBatch | None = None
-    started = False
-
-    def emit(key, ident, keep_first, keep_last):
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        at = np.flatnonzero(new)
-        size = np.diff(np.append(at, len(key)))
-        take = np.repeat(size > 1, size)
-        if keep_first:
-            take[: size[0]] = True
-        if keep_last:
-            take[len(key) - size[-1] :] = True
-        leader = np.repeat(ident[at], size)
-        return pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(ident[take]), pa.array(leader[take])], names=["key", "id", "leader"])
-
-    for b in batches:
-        key, ident = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if held is not None:
-            key, ident = np.concatenate((held[0], key)), np.concatenate((held[1], ident))
-        if not len(key):
-            continue
-        # a group that may go on in the next batch waits, unless it's already long: then it goes out, and its leader goes on
-        cut = len(key) - int((key[::-1] == key[-1]).argmin() or len(key)) if (key != key[-1]).any() else 0
-        if len(key) - cut > 100_000:
-            yield emit(key, ident, not started, True)
-            started, held = True, (key[cut : cut + 1], ident[cut : cut + 1])
-            continue
-        if cut:
-            yield emit(key[:cut], ident[:cut], not started, False)
-            started = True
-        held = key[cut:], ident[cut:]
-    if held is not None and len(held[0]):
-        yield emit(held[0], held[1], True, True)
+def _groups(shared_hot):
+    """From rows (key, id, salt) in order: (key, id, leader) of groups of two or more; of hot keys, which lie in several partitions with a leader each, in any case."""
+
+    def emit(key, ident):
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size, hot = np.diff(np.append(at, len(key))), shared_hot.value[0]
+        take = np.repeat((size > 1) | (~rare_of(key[at].view(U64), hot) if len(hot) else False), size)
+        return pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(ident[take]), pa.array(np.repeat(ident[at], size)[take])], names=["key", "id", "leader"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            key, ident = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if held is not None:
+                key, ident = np.concatenate((held[0], key)), np.concatenate((held[1], ident))
+            if not len(key):
+                continue
+            # a group that may go on in the next batch waits, unless it's already long: then it goes out, and its leader goes on
+            cut = len(key) - int((key[::-1] == key[-1]).argmin() or len(key)) if (key != key[-1]).any() else 0
+            if len(key) - cut > 100_000:
+                yield emit(key, ident)
+                held = key[cut : cut + 1], ident[cut : cut + 1]
+                continue
+            if cut:
+                yield emit(key[:cut], ident[:cut])
+            held = key[cut:], ident[cut:]
+        if held is not None and len(held[0]):
+            yield emit(*held)
+
+    return run
 
 
 def _hamming(a: str, b: str) -> Column:
@@ -172,18 +185,25 @@ class ParityJoin:
     """One join: parameters, the documents, and the tables that its steps share."""
 
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str):
+        whole_number_ids(docs, id_col)
         self.n, self.num, self.den = n, num, den
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        self.parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def digests(self) -> DataFrame:
-        n = self.n
+    def digests(self, common) -> DataFrame:
+        """id, n, the digests, excess, and the folded sketch of every document. The excesses of two linked sets add up to 0 at most, unless they share a rare shingle."""
+        n, num, den = self.n, self.num, self.den
 
         def run(batch):
             for lo, hi, raw, offs in slices(batch.column(1)):
-                size, d1, d2, fold = _digest_rows(raw, offs, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *(pa.array(fold[:, k].view(np.int64)) for k in range(FOLD))], names=["id", "n", "d1", "d2", *(f"s{k}" for k in range(FOLD))])
+                size, d1, d2, fold, n_rare = _digest_rows(raw, offs, n, common.value)
+                excess = n_rare * (den + num) - size * (den - num)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(excess), *(pa.array(fold[:, k].view(np.int64)) for k in range(FOLD))], names=["id", "n", "d1", "d2", "excess", *(f"s{k}" for k in range(FOLD))])
+
+        return arrow_map(self.docs, run, "id long, n long, d1 long, d2 long, excess long, " + ", ".join(f"s{k} long" for k in range(FOLD)))
 
-        return arrow_map(self.docs, run, "id long, n long, d1 long, d2 long, " + ", ".join(f"s{k} long" for k in range(FOLD)))
+    def sample(self) -> DataFrame:
+        return self.docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
 
     def common(self) -> np.ndarray:
         """Hashes of shingles in many documents, by a sample; a bounded list that decides only which blocks make keys."""
@@ -194,21 +214,39 @@ class ParityJoin:
                 k, c = np.unique(sets_of(raw, offs, n)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
-        some = arrow_map(self.docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text"), run, "h long, c long")
-        many = some.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON_DOCS).orderBy(F.desc("c"), "h").limit(COMMON)
-        return np.sort(many.toArrow()["h"].to_numpy().view(U64))
+        return self._frequent(arrow_map(self.sample().select("text"), run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))[0]
+
+    def hot(self, reps: DataFrame, common) -> tuple[np.ndarray, np.ndarray]:
+        """(keys of many documents, partitions to deal each to), by a sample of the representatives; a bounded list that decides only how keys are dealt."""
+        some = self.keys(reps.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), common, None)
+        h, c = self._frequent(some.groupBy(F.col("key").alias("h")).agg(F.count(F.lit(1)).alias("c")).withColumn("n", F.col("c")))
+        return h, np.clip(-(-c * SAMPLE // HOT_ROWS), 1, self.parts)
+
+    def _frequent(self, counted: DataFrame) -> tuple[np.ndarray, ...]:
+        """Columns of the bounded list, in the order of the hash."""
+        counted = materialize(counted.where(F.col("c") >= COMMON_DOCS), "frequent")
+        got = most_frequent(counted, "c", COMMON).toArrow()
+        release(counted)
+        order = np.argsort(got["h"].to_numpy().view(U64))
+        return tuple((got[f].to_numpy().view(U64) if f == "h" else got[f].to_numpy())[order] for f in got.column_names if f != "c")
 
-    def keys(self, docs: DataFrame) -> DataFrame:
+    def keys(self, docs: DataFrame, common, hot) -> DataFrame:
+        """key, id, salt: a hot key's rows are dealt over partitions by salts."""
         n, num, den = self.n, self.num, self.den
-        shared = docs.sparkSession.sparkContext.broadcast(self.common())
 
         def run(batch):
             ids = batch.column(0).to_numpy()
             for lo, hi, raw, offs in slices(batch.column(1)):
-                doc, key = block_keys(*sets_of(raw, offs, n), num, den, shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[lo:hi][doc])], names=["key", "id"])
+                doc, key = block_keys(*sets_of(raw, offs, n), num, den, common.value)
+                own, salt = ids[lo:hi][doc], np.zeros(len(key), np.int32)
+                if hot is not None and len(hot.value[0]):
+                    known, many = hot.value
+                    place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    at = np.flatnonzero(known[place] == key)
+                    salt[at] = (mix(own[at].view(U64)) % many[place[at]].astype(U64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(salt)], names=["key", "id", "salt"])
 
-        return arrow_map(docs, run, "key long, id long")
+        return arrow_map(docs, run, "key long, id long, salt int")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         n = self.n
@@ -222,68 +260,103 @@ class ParityJoin:
         return arrow_map(by_ids(self.docs, ids, "left_semi", "id"), run, "id long, shingles array<long>")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of materialized pairs (a, b), those that link."""
+        """Of materialized pairs (a, b), those that link. Each set is read once; a set with very many partners goes to several tasks."""
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-        sets = self.sets(ids)
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        sets = materialize(self.sets(ids), "sets")
+        side = lambda x, s: sets.select(F.col("id").alias(x), F.col("shingles").alias(s))
+        both = hot_join(pairs, side("a", "x"), ["a"], "b").join(side("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         links = both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u")).where(F.col("i") * self.den >= F.col("u") * self.num)
         out = materialize(links.select("a", "b").distinct(), "links")
-        release(ids)
+        release(ids, sets)
         return out
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(digest rows of all documents, links between representatives). Both materialized."""
-        digests = materialize(self.digests(), "digests")
-        classes = digests.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("most"))
-        self.copies = materialize(digests.where("n > 0").join(classes.where("rep < most"), ["d1", "d2", "n"]).where("id <> rep").select("id", F.col("rep")).distinct(), "copies")
-        sketch = digests.where("n > 0 AND id IS NOT NULL").join(F.broadcast(self.copies.select("id")) if self.copies.count() <= 1_000_000 else self.copies.select("id"), "id", "left_anti")
-        reps = by_ids(self.docs.where("id IS NOT NULL"), self.copies, "left_anti", "id")
-        keyed = self.keys(reps)
-        parts = max(1, int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        groups = materialize(keyed.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_grouped, "key long, id long, leader long"), "groups")
-        sketch = sketch.select("id", "n", *(f"s{k}" for k in range(FOLD)))
+        context = self.docs.sparkSession.sparkContext
+        common = context.broadcast(self.common())
+        digests = materialize(self.digests(common), "digests")
+        own = digests.where("n > 0 AND id IS NOT NULL")
+        classes = materialize(own.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("most"), F.count(F.lit(1)).alias("c")).where("rep < most"), "classes")
+        self.copies = materialize(hot_join(own.select("id", "n", "d1", "d2"), classes.drop("most", "c"), ["d1", "d2", "n"], "id", classes).where("id <> rep").select("id", "rep").distinct(), "copies")
+        release(classes)
+        gone = self.copies.select("id").distinct()
+        several = own.groupBy("id").agg((F.count_distinct("d1", "d2", "n") > 1).alias("differ")).where("differ").select("id")
+        gone = gone.join(several, "id", "left_anti")  # an id with different texts stays, for one of them may be no copy
+        gone = materialize(gone, "gone")
+        sketch = by_ids(own, gone, "left_anti", "id").select("id", "n", "excess", *(f"s{k}" for k in range(FOLD)))
+        reps = by_ids(self.docs.where("id IS NOT NULL"), gone, "left_anti", "id")
+        hot = context.broadcast(self.hot(reps, common))
+        keyed = self.keys(reps, common, hot)
+        groups = materialize(keyed.repartition(self.parts, "key", "salt").sortWithinPartitions("key", "id").mapInArrow(_groups(hot), "key long, id long, leader long"), "groups")
         side = lambda x: sketch.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(FOLD)))
 
-        found, labels, left = [], None, 0
+        found, labels, left, rows, state = [], None, 0, 0, None
         for turn in range(ROUNDS):
+            # each row is tried against the leaders that it shares most keys with
             if turn == 0:
-                tries = groups.where("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+                tries = groups.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b"))
             else:
-                if left <= PAIRS_PER_ROW * rows:
+                if not left or (turn > 1 and left <= PAIRS_PER_ROW * rows):
                     break
-                lead = open_rows.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64("label", F.lit(turn))).alias("l"))
-                tries = open_rows.join(lead, "key").where("label <> l.label").select(F.col("l.id").alias("a"), F.col("id").alias("b"))
-            best = tries.groupBy("a", "b").agg(F.count("*").alias("k")).groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
-            best = materialize(best.join(side("a"), "a").join(side("b"), "b").where(_may_link(F.col("na"), F.col("nb"), self.num, self.den, _hamming("a", "b"))).select("a", "b").distinct(), "tries")
-            new = self.verified(best)
-            found.append(new)
-            release(best, labels)
+                # rows outside a group's largest component against some of its members, the one with least excess first
+                pick = [F.min_by(F.struct("id", "excess"), F.struct("excess", "id") if turn == 1 and not m else F.struct(F.xxhash64("id", F.lit(turn * LEADERS + m)), F.col("id"))) for m in range(LEADERS)]
+                lead = state.where("NOT minor").groupBy("key").agg(F.array_distinct(F.array(*pick)).alias("l"))
+                tries = hot_join(state.where("minor"), lead, ["key"], "id").select(F.explode("l.id").alias("a"), F.col("id").alias("b"))
+            tries = materialize(self._nearest(tries.groupBy("a", "b").agg((-F.count(F.lit(1))).alias("rank"))), "tries")
+            near = hot_join(tries, side("a"), ["a"], "b").join(side("b"), "b").where(_may_link(F.col("na"), F.col("nb"), self.num, self.den, _hamming("a", "b")))
+            near = materialize(near.select("a", "b").distinct(), "near")
+            release(tries)
+            found.append(self.verified(near))
+            release(near, labels, state)
             labels = components(_union(found))
-            open_rows, left, rows = self._open(groups, labels)
+            state, left, rows = self._open(groups, labels, sketch)
         if left:
-            sides = open_rows.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-            full = open_rows.join(sides, "key").join(sketch, "id").withColumn("own", F.pmod(F.xxhash64("id"), "cells").cast("int"))
-            every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-            half = lambda x, *cell: full.select("key", *cell, F.col("id").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(FOLD)))
-            near = _may_link(F.col("na"), F.col("nb"), self.num, self.den, _hamming("a", "b"))
-            x = half("a", F.col("own").alias("i"), every.alias("j")).repartition(parts, "key", "i", "j")
-            y = half("b", every.alias("other_i"), F.col("own").alias("other_j")).withColumnRenamed("key", "other").repartition(parts, "other", "other_i", "other_j")
-            on = (F.col("key") == F.col("other")) & (F.col("i") == F.col("other_i")) & (F.col("j") == F.col("other_j")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & near
-            pairs = materialize(x.join(y, on).select("a", "b").distinct(), "pairs")
+            pairs = materialize(self._pairs(state, sketch), "pairs")
             found.append(self.verified(pairs))
             release(pairs)
-        release(groups, labels)
+        release(groups, labels, state, gone)
         return digests, _union(found)
 
-    def _open(self, groups: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
-        """(rows of groups that several components share, with labels; pairs between different components in them; rows)."""
-        rows = groups.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        open_rows = materialize(rows.join(several, "key").distinct(), "open")
-        each = open_rows.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-        got = each.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)).alias("p"), F.coalesce(F.sum("s"), F.lit(0)).alias("r")).first()
-        return open_rows, int(got["p"]), int(got["r"])
+    def _nearest(self, pairs: DataFrame) -> DataFrame:
+        """Of each b the TRIES pairs of least rank; a row has a bounded number of keys, and as many leaders."""
+        best = F.slice(F.array_sort(F.collect_list(F.struct("rank", "a"))), 1, TRIES)
+        return pairs.groupBy("b").agg(best.alias("m")).select("b", F.explode("m").alias("m")).select(F.col("m.a").alias("a"), "b")
+
+    def _open(self, groups: DataFrame, labels: DataFrame, sketch: DataFrame) -> tuple[DataFrame, int, int]:
+        """(rows of groups that several components share: key, id, label, excess, minor; pairs to compare in them; rows).
+
+        minor: outside the group's largest component, whose members needn't be compared with each other. Of weak groups (odd keys) two rows with excess need no comparison.
+        """
+        rows = materialize(groups.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")).distinct(), "group-rows")
+        each = materialize(rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")), "group-parts")
+        several = each.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("c"), F.max_by("label", F.struct("m", "label")).alias("top")).where("parts > 1")
+        several = materialize(several, "open-keys")
+        state = hot_join(rows, several.select("key", "top"), ["key"], "id", several).join(sketch.select("id", "excess"), "id")
+        state = state.withColumn("minor", F.col("label") != F.col("top")).drop("top").withColumn("excess", F.when(F.col("key") % 2 == 0, F.lit(-(1 << 40))).otherwise(F.col("excess"))).distinct()
+        state = materialize(state, "open")
+        some = state.groupBy("key").agg(F.count(F.lit(1)).alias("s"), F.sum(F.col("minor").cast("long")).alias("o"), F.sum((F.col("minor") & (F.col("excess") > 0)).cast("long")).alias("z"), F.sum((F.col("excess") <= 0).cast("long")).alias("p"))
+        got = some.agg(F.coalesce(F.sum((F.col("o") - F.col("z")) * F.col("s") + F.col("z") * F.col("p")), F.lit(0)).alias("p"), F.coalesce(F.sum("s"), F.lit(0)).alias("r")).first()
+        release(each, several, rows)
+        return state, int(got["p"]), int(got["r"])
+
+    def _pairs(self, state: DataFrame, sketch: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components in one group whose sketches may link: every minor row against the group, in cells, compared within the join."""
+        zone = (F.col("excess") > 0).cast("int")
+        full = state.join(sketch.drop("excess"), "id").withColumn("zone", zone)
+        sides = state.withColumn("zone", zone).groupBy("key").agg(
+            F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("ca"), F.ceil(F.greatest(F.sum(F.col("minor").cast("long")), F.lit(1)) / CELL).cast("int").alias("cb"))
+        full = hot_join(materialize(full, "open-sketches"), sides, ["key"], "id")
+        spread = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        half = lambda df, x, *cells: df.select(F.col("key").alias(f"k{x}"), F.col("id").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("excess").alias(f"e{x}"), *cells, *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(FOLD)))
+        # zone rows are compared with rows without excess only (tag 1); minor rows without excess with all (tag 0)
+        tagged = full.withColumn("tag", F.explode(F.when(F.col("zone") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+        x = half(tagged.withColumn("ia", spread("ca")).withColumn("ja", every("cb")), "a", F.col("tag").alias("ta"), "ia", "ja").repartition(self.parts, "ka", "ta", "ia", "ja")
+        y = half(full.where("minor").withColumn("jb", spread("cb")).withColumn("ib", every("ca")), "b", F.col("zone").alias("tb"), "ib", "jb").repartition(self.parts, "kb", "tb", "ib", "jb")
+        near = _may_link(F.col("na"), F.col("nb"), self.num, self.den, _hamming("a", "b"))
+        on = (F.col("ka") == F.col("kb")) & (F.col("ta") == F.col("tb")) & (F.col("ia") == F.col("ib")) & (F.col("ja") == F.col("jb")) & (F.col("la") != F.col("lb")) & (F.col("ea") + F.col("eb") <= 0) & near
+        return x.join(y, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
