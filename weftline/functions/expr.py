@@ -212,7 +212,7 @@ def failure_pause(reason: Column) -> Column:
 
 def retry_after(value: Column, now: Column) -> Column:
     """Seconds of a Retry-After header, a number or an HTTP date; never negative; null if it is neither."""
-    date = F.try_to_timestamp(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    date = F.try_to_timestamp(F.concat(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit(" +0000")), F.lit("dd MMM yyyy HH:mm:ss Z"))
     seconds = F.coalesce(value.try_cast("double"), (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"))
     return F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds))
 

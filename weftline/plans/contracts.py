@@ -276,6 +276,15 @@ def rate_limit_evidence(spark, d):
     return e.select("event_id", F.col("v.signal").alias("signal"), F.col("v.countdown").alias("countdown"))
 
 
+@query("retry_delays", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN (event_id % 50)::DOUBLE WHEN 1 THEN (event_id % 300)::DOUBLE WHEN 2 THEN 0.0::DOUBLE WHEN 3 THEN 0.0::DOUBLE END AS delay FROM events")
+def retry_delays(spark, d):
+    """Retry-After headers: seconds, an HTTP date, what lies behind, and neither."""
+    x, now = F.col("event_id"), F.date_trunc("second", F.col("ts").cast("timestamp"))
+    date = lambda t: F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    header = F.when(x % 5 == 0, (x % 50).cast("string")).when(x % 5 == 1, date(F.timestamp_seconds(F.unix_timestamp(now) + x % 300))).when(x % 5 == 2, "-5").when(x % 5 == 3, date(F.timestamp_seconds(F.unix_timestamp(now) - 60))).otherwise("soon")
+    return table(spark, d, "events").select("event_id", X.retry_after(header, now).alias("delay"))
+
+
 @query("remapped_labels", f"WITH {episode_sql()} SELECT p.id, CASE WHEN decide < 0.7 THEN string_agg(cand, ',' ORDER BY cand) FILTER (acc < 0.3 OR pos = p.id::BIGINT % p.n) ELSE '' END AS acceptable FROM ep p JOIN ent e USING (id) GROUP BY p.id, decide")
 def remapped_labels(spark, d):
     """Labels given on opaque ids in a hashed order, back on the episodes' own."""

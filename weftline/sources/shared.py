@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -34,9 +35,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_cleaned: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own part of the shared folder, which is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    own = f"{shared_dir(spark).rstrip('/')}/weftline-{app}"
+    if app not in _cleaned:
+        _cleaned.add(app)
+        atexit.register(_clean, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _clean(spark: SparkSession, own: str) -> None:
+    """Delete the application's scratch; where the session has ended before the driver, the folder stays for whoever keeps the shared one."""
+    if spark.sparkContext._jsc is not None:
+        Store(spark, own).delete(own)
 
 
 class Store:
