@@ -10,7 +10,7 @@ if it could link there. A block's join key is a digest of what was XOR-ed into i
 and those made of passages that very many documents share (a bounded list, estimated on every SAMPLE-th document; any list gives the
 same links). Equal blocks are equally weak, so a set with fewer than blocks - k weak ones needs only its strong blocks as keys; any
 other takes part in a further, independent sketch. In the last one such sets, mostly made of shared passages, take their rare shingles as
-keys, and their weak blocks if they have few rare ones: a linked pair shares a rare shingle, or their excesses (rare shingles less what
+keys (those with the smallest hashes, as many as a linked set may lack and one more), and their weak blocks if they have few rare ones: a linked pair shares a rare shingle, or their excesses (rare shingles less what
 the bound allows a set of that size) add up to 0 at most. So texts of one passage with different additions are compared only where the
 additions are small enough to link. No link is lost, whatever the sizes.
 
@@ -128,10 +128,15 @@ def block_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den:
             # excess() of a document in this band is at least r * (den + num) - (largest size) * (den - num)
             pure = n_rare[member] * (den + num) <= 2 * (edges[band + 1] - 1) * (den - num)
             use = strong | (again & pure)[of]
-            rows = again[place] & rare[source]
-            _, once = np.unique(source[rows], return_index=True)
-            docs.append(doc[source[rows][once]])
-            keys.append(mix(h[source[rows][once]] ^ U64(0x7F4A7C15F39CC060)) & ~U64(1))
+            # two sets that link lack at most k of each other's rare shingles, so those that share one share one of the k + 1 with the smallest hashes of either (prefix filter)
+            rows = np.flatnonzero(again[place] & rare[source])
+            rows = rows[np.lexsort((h[source[rows]], place[rows]))]
+            of_member = place[rows]
+            nth = np.arange(len(rows)) - np.searchsorted(of_member, of_member)
+            k = 2 * (edges[1:] - 1) * (den - num) // (den + num)
+            some = np.unique(source[rows[nth <= k[band[of_member]]]])
+            docs.append(doc[some])
+            keys.append(mix(h[some] ^ U64(0x7F4A7C15F39CC060)) & ~U64(1))
         at = of[use]
         with np.errstate(over="ignore"):
             label = ((band[at] * 8 + family).astype(U64) << U64(40)) + (np.flatnonzero(use) - base[at]).astype(U64)
