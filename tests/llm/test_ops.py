@@ -122,6 +122,75 @@ def test_more_leader_rounds_change_nothing(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 3, 80, 100)
 
 
+def boilerplate_rows(n, seed=3):
+    """Texts of one long passage with additions of different sizes: few link, all share most blocks."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        k = rng.choice([0, 3, 6, 9, 12, 15, 20, 30])
+        at = rng.randrange(100, 120)
+        rows.append((i * 3 + 1, " ".join(passage[:at] + [f"x{i}_{j}" for j in range(k)])))
+    return rows
+
+
+def test_texts_of_one_passage(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "SAMPLE", 1)
+    monkeypatch.setattr(parity_join, "CELL", 40)
+    rows = boilerplate_rows(300) + near_rows(5, 5)
+    rows = list({d: t for d, t in rows}.items())
+    got = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 3, 90, 100)
+
+
+def test_few_pairs_for_many_texts_of_one_passage(spark, monkeypatch):
+    """Some thousand texts, near but unlinked: every text has its own addition, a little too long to link."""
+    monkeypatch.setattr(parity_join, "SAMPLE", 4)
+    passage, n = " ".join(f"p{i}" for i in range(100)), 3000
+    rows = [(i, passage + " " + " ".join(f"x{i}_{j}" for j in range(8))) for i in range(n)]
+    compared = []
+    own = parity_join.ParityJoin._open
+    monkeypatch.setattr(parity_join.ParityJoin, "_open", lambda *a: (lambda out: (compared.append(out[1]), out)[1])(own(*a)))
+    got = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == n
+    assert max(compared) <= n
+
+
+def test_hot_groups_and_repeated_ids(spark, monkeypatch):
+    from weftline.llm import common
+
+    monkeypatch.setattr(common.hot_join, "__defaults__", (None, 5))
+    monkeypatch.setattr(parity_join, "SAMPLE", 1)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(40)]
+    for i in range(40, 120):
+        w = list(base)
+        w[rng.randrange(60)] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    rows += near_rows(2, 6)[:0] + [(i, " ".join(f"z{i}{j}" for j in range(30))) for i in range(200, 205)]
+    for keys in (common.BROADCAST_KEYS, -1):
+        monkeypatch.setattr(common, "BROADCAST_KEYS", keys)
+        got = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100)
+        assert {r.doc_id: r.component_id for r in got.collect()} == {d: c for d, (_, c) in brute_components(rows, 3, 80, 100).items()}
+    # an id with two texts, one a copy of another document's, links through both
+    twice = [(1, rows[0][1]), (5, rows[0][1]), (5, rows[-1][1]), (7, rows[-1][1] + " end")]
+    got = parity_join.jaccard_components(spark.createDataFrame(twice, "doc_id long, text string"), 3, 80, 100)
+    assert {r.component_id for r in got.collect()} == {1}
+    with pytest.raises(TypeError):
+        parity_join.jaccard_components(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_most_frequent_keeps_to_its_bound(spark):
+    from weftline.llm.common import most_frequent
+
+    df = spark.createDataFrame([(i, 1 + i // 3) for i in range(300)], "h long, c long")
+    for bound in (0, 1, 50, 299, 300, 1000):
+        got = [r.c for r in most_frequent(df, "c", bound).collect()]
+        assert len(got) <= bound and (not got or min(got) > max([1 + i // 3 for i in range(300 - len(got))], default=0))
+    assert most_frequent(df, "c", 300).count() == 300 and most_frequent(df.limit(0), "c", 5).count() == 0
+
+
 def test_pigeonhole_of_block_keys():
     rng = np.random.default_rng(5)
     for n in (1, 2, 7, 9, 10, 11, 19, 40, 333, 2000):
@@ -162,27 +231,50 @@ def test_urls(spark):
     assert got[0].verdict == "block" and got[1].verdict == "allow" and all(r.verdict in ("allow", "block") for r in got.values())
 
 
-def test_url_model_separates_held_out_hosts():
-    rows = url_filter.default_labelled()
+def url_split(group, folds=5):
+    """Held-out verdicts of every labelled URL, by models that haven't seen its group."""
+    names, rows = url_filter.labelled_names(), url_filter.default_labelled()
+    names = [x for y in (1, 0) for x in names if x[2] == y]
     parts = [url_filter._split(u) for u, _ in rows]
-    keep = [i for i in range(len(rows)) if zlib.crc32(parts[i][0].split(".")[-2 if parts[i][0].count(".") == 1 else -3 if "example" in parts[i][0] else -2].encode()) % 4]
-    w, b = url_filter.train([parts[i][0] for i in keep], [parts[i][1] for i in keep], [rows[i][1] for i in keep])
+    fold = np.array([zlib.crc32(group(x).encode()) % folds for x in names])
     row, cell = url_filter.features([buffer_of(pa.array([h for h, _ in parts])), buffer_of(pa.array([p for _, p in parts]))])
-    margin = url_filter._margin(w, b, row, cell, len(rows))
-    right = [(m > 0) == y for m, (_, y) in zip(margin, rows, strict=True)]
-    assert np.mean([right[i] for i in keep]) > 0.98
+    said = np.zeros(len(rows), bool)
+    for f in range(folds):
+        keep = np.flatnonzero(fold != f)
+        w, b = url_filter.train([parts[i][0] for i in keep], [parts[i][1] for i in keep], [rows[i][1] for i in keep])
+        said[fold == f] = (url_filter._margin(w, b, row, cell, len(rows)) > 0)[fold == f]
+    truth = np.array([y for _, y in rows], bool)
+    return truth, said
+
+
+def test_url_model_on_held_out_names():
+    truth, said = url_split(lambda x: x[1])  # no row of a name is in the training of the model that judges it
+    assert said[truth].mean() > 0.95 and (~said[~truth]).mean() > 0.97
     with pytest.raises(ValueError):
         url_filter.train(["a"] * (url_filter.MAX_LABELLED + 1), ["/"] * (url_filter.MAX_LABELLED + 1), [0] * (url_filter.MAX_LABELLED + 1))
 
 
-def test_labelled_urls_hold_no_host_of_the_pages():
+def test_url_model_leaves_unknown_topics_alone():
+    truth, said = url_split(lambda x: x[0])  # nor any other name of its topic: junk of an unknown topic mostly passes (see README), ordinary sites aren't blocked
+    assert (~said[~truth]).mean() > 0.97
+
+
+def test_url_table_is_balanced_and_holds_no_host_of_the_pages(spark):
+    names = url_filter.labelled_names()
+    for mark in ("-", "online", "best"):
+        share = [np.mean([mark in n for _, n, y in names if y == k]) for k in (0, 1)]
+        assert abs(share[0] - share[1]) < 0.02
+    assert len({n for _, n, _ in names}) > 0.99 * len(names) and len(names) < url_filter.MAX_LABELLED
+    hosts = [(1, "https://stack-overflow.org/x"), (2, "https://uni-heidelberg.de/y")]
+    got = url_filter.url_verdicts(spark.createDataFrame(hosts, "page_id long, url string"), url_filter.default_labelled(), [])
+    assert {r.verdict for r in got.collect()} == {"allow"}
     path = "/root/testdata/sf0.1/pages.parquet"
     if not os.path.isfile(path):
         pytest.skip("the driver's tables aren't here")
     import pyarrow.parquet as pq
 
     labels = {x for u in pq.read_table(path, columns=["url"])["url"].to_pylist() for x in url_filter._split(u or "")[0].split(".")} - {"www", "m", "blog", "example", "com", "net", "org"}
-    assert labels and not labels & {*url_filter._BLOCK_HOSTS, *url_filter._ALLOW_HOSTS}
+    assert labels and not labels & {n for _, n, _ in names}
 
 
 # --- 3, 4 ---
@@ -191,7 +283,7 @@ def alnum(t):
     return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     vocabulary = [f"v{i}" for i in range(150)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([2, 5, 9, 30])))) for i in range(12)] + [(50, None), (51, "!!!"), (52, "v1")]
@@ -218,6 +310,23 @@ def test_leaks_equal_brute_force(spark):
             if k * 100 >= 80 * len(s):
                 want.add((d, i, len(s), k))
     assert {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in got.collect()} == want and len(want) > 20
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    for bits in (7, 27):  # a full bit table and one with few bits set
+        monkeypatch.setattr(decontaminate, "BITS", bits)
+        again = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        assert {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in again.collect()} == want
+
+
+def test_signatures_of_size_partitions(spark):
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(n + 4))) for i, n in enumerate((1, 2, 3, 4, 7, 8, 15, 16, 100))]
+    known = decontaminate.item_shingles(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    got = collections.defaultdict(list)
+    for r in decontaminate.signatures(known).collect():
+        got[r.item_id].append((r.band, r.need))
+    for i, n in enumerate((1, 2, 3, 4, 7, 8, 15, 16, 100)):
+        band, miss = n.bit_length() - 1, lambda q: q - -(-q * 80 // 100)
+        k = min(n, miss(2 ** (band + 1) - 1) + decontaminate.EXTRA)
+        assert got[i] == [(band, k - miss(n))] * k and k > miss(n)
 
 
 def test_leaks_without_broadcast(spark, monkeypatch):
@@ -248,6 +357,19 @@ def test_licence_files_with_titles_and_equivalent_words(spark):
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(full)
 
 
+def test_licence_variants_equal_their_sql(spark):
+    import duckdb
+
+    rows = [(i, f"s{i}", t) for i, t in enumerate(["plain text", None, "", *licences.KNOWN.values()] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: (r.digest, r.licence_id) for r in licences.licence_matches(licences.variants(docs), licences.known_licences(spark)).collect()}
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, source VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    assert got == {d: (g, n) for d, g, n in con.sql(licences.oracle(f"({licences.variants_sql()})")).fetchall()}
+    assert sum(n is not None for _, n in got.values()) > len(rows) / 2
+
+
 # --- 5 ---
 
 def toxic_tables(spark, n=900):
@@ -277,8 +399,87 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in rows)
 
 
+def toxic_model(texts):
+    """fit() on (text, class) pairs, from counts made in plain Python."""
+    pairs, words = collections.Counter(), set()
+    for t, y in texts:
+        w = t.lower().encode().split()
+        words |= set(w)
+        pairs.update({(v, x, y) for v, x in zip([None, *w], w)})
+    words = sorted(words)
+    raw, offs = buffer_of(pa.array([" ".join(w.decode() for w in words)]))
+    h = Words(raw, offs).hashes()
+    code = dict(zip(words, h, strict=True)) | {None: toxicity.BORDER}
+    kinds = np.array([[len({v for v, x, y in pairs if x == w and y == k}) for w in words] for k in (0, 1)], float)
+    listed = sorted({(v, x) for (v, x, y), n in pairs.items() if n > 1}, key=lambda p: toxicity.pair_hash(np.array([code[p[0]]]), np.array([code[p[1]]]))[0])
+    key = np.array([toxicity.pair_hash(np.array([code[v]]), np.array([code[x]]))[0] for v, x in listed], np.uint64)
+    firsts = sorted({v for v, _, _ in pairs}, key=lambda v: code[v])
+    after = np.array([[sum(n for (v, _, y), n in pairs.items() if v == f and y == k) for f in firsts] for k in (0, 1)], float)
+    different = np.array([[sum(1 for (v, _, y) in pairs if v == f and y == k) for f in firsts] for k in (0, 1)], float)
+    counts = np.array([[pairs[v, x, k] for v, x in listed] for k in (0, 1)], float)
+    return toxicity.fit(words, h, kinds, (key, counts), (np.array([code[f] for f in firsts], np.uint64), after, different)), pairs, kinds, words
+
+
+def brute_word(model, pairs, kinds, words, v, x, y):
+    """P(x | v) of class y, level by level; only the characters' probability is taken from the model."""
+    spelled = math.exp(model.spelled([x])[y][0])
+    i, total = words.index(x) if x in words else None, kinds[y].sum()
+    own = max(kinds[y][i] - toxicity.WORD_DISCOUNT, 0) / total if i is not None else 0.0
+    p = own + sum(min(k, toxicity.WORD_DISCOUNT) for k in kinds[y]) / total * spelled
+    follow = {b: n for (a, b, k), n in pairs.items() if a == v and k == y}
+    if follow:
+        listed = max(pairs[v, x, 0], pairs[v, x, 1]) > 1
+        p = (max(follow.get(x, 0) - toxicity.DISCOUNT, 0) if listed else 0.0) / sum(follow.values()) + toxicity.DISCOUNT * len(follow) / sum(follow.values()) * p
+    return math.log(p)
+
+
+def test_toxicity_likelihoods_equal_brute_force():
+    texts = [("you are bad", 1), ("you are bad today", 1), ("bad you", 1), ("you are here today", 0), ("are you here", 0), ("here you are", 0), ("the day", 0)]
+    model, pairs, kinds, words = toxic_model(texts)
+    for text in ("you are bad", "bad here zebra today", "unknown", "the the you are here today"):
+        raw, offs = buffer_of(pa.array([text]))
+        got = toxicity.word_ratios(toxicity.WordScores(model), Words(raw, offs, lower=True))
+        w = text.encode().split()
+        want = [brute_word(model, pairs, kinds, words, v, x, 1) - brute_word(model, pairs, kinds, words, v, x, 0) for v, x in zip([None, *w], w)]
+        assert np.allclose(got, want)
+        x = toxicity.features(toxicity.WordScores(model), raw, offs)[0]
+        high = sorted(max(r, 0) for r in want)
+        assert np.allclose(x, [np.mean(want), *(sum(min(r, most) for r in high[-top:]) / top for top, most in toxicity.HIGHEST), math.log(len(w))])
+
+
+def brute_character(order, words, weights, text):
+    """Kneser-Ney over the marked bytes of words, the highest order weighted, lower orders by continuation: P of the last character of `text` after the ones before."""
+    marked = [bytes([0]) * (toxicity.ORDER - 1) + w + bytes([1]) for w in words]
+    grams = lambda n: [(m[i - n + 1 : i + 1], c) for m, c in zip(marked, weights, strict=True) for i in range(toxicity.ORDER - 1, len(m))]
+    if order == 0:
+        return 1 / 256
+    if order == toxicity.ORDER:
+        counts = collections.Counter()
+        for g, c in grams(order):
+            counts[g] += c
+        counts = {g: c for g, c in counts.items() if c}
+    else:
+        counts = collections.Counter(g[1:] for g in {g for g, _ in grams(order + 1)})
+    gram = text[len(text) - order :]
+    same = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+    low = brute_character(order - 1, words, weights, text)
+    if not same:
+        return low
+    total = sum(same.values())
+    return max(same.get(gram, 0) - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * len(same) / total * low
+
+
+def test_toxicity_characters_equal_brute_force():
+    model, _, kinds, words = toxic_model([("abc abd b", 1), ("abd abe c", 0), ("ab abc", 0), ("bcd b", 1)])
+    for word in (b"abc", b"abx", b"b", b"zz"):
+        marked = bytes([0]) * (toxicity.ORDER - 1) + word + bytes([1])
+        for y in (0, 1):
+            want = sum(math.log(brute_character(toxicity.ORDER, words, kinds[y], marked[: i + 1])) for i in range(toxicity.ORDER - 1, len(marked)))
+            assert math.isclose(model.spelled([word])[y][0], want)
+
+
 def test_toxicity_probabilities_sum_to_one():
-    m = toxicity.fit([b"abc", b"abd", b"b"], np.array([3, 1, 2]), np.array([1, 5, 1]))
+    m = toxic_model([("abc abd b", 1), ("abd abe c", 0)])[0]
     text, at = toxicity._characters([b"ab"])
     low = 0.0
     for c in range(256):
@@ -288,6 +489,17 @@ def test_toxicity_probabilities_sum_to_one():
     assert abs(low - 1) < 1e-9
 
 
+def test_toxicity_on_the_drivers_labels(spark):
+    data = "/root/testdata/sf0.1"
+    if not os.path.isdir(data):
+        pytest.skip("the driver's tables aren't here")
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id").collect()
+    caught = [r.predicted for r in rows if r.toxic]
+    right = [r.toxic for r in rows if r.predicted]
+    assert np.mean(caught) > 0.82 and np.mean(right) > 0.9
+
+
 def test_toxicity_without_both_classes(spark):
     docs, labels, _ = toxic_tables(spark, 30)
     for some, want in ((labels.limit(0), 0.0), (labels.withColumn("toxic", F.lit(1)), 1.0), (labels.withColumn("toxic", F.lit(0)), 0.0)):
@@ -323,6 +535,23 @@ def test_token_files_equal_the_library(spark):
         start += len(ids)
 
 
+def test_token_file_keys(spark):
+    rows = [(None, "a"), (-(1 << 63), "b"), (0, None), (None, "c"), (5, "d")]
+    got = token_files.token_file_digest(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -(1 << 63), 0, 5] and got[3].n_tokens == 1
+    with pytest.raises(TypeError):
+        token_files.token_file_digest(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
+
+
+def test_decoding_null_and_unknown_ids(spark):
+    lists = [(1, None), (2, []), (3, [None]), (4, [-1]), (5, [10**6]), (6, [None, 400, None, 10**6])]
+    got = {r.doc_id: r.text for r in piece_codec.decode(spark.createDataFrame(lists, "doc_id long, piece_ids array<int>")).collect()}
+    c = piece_codec.PieceCoder(tokenizer_path("piece_bpe_32k.model"))
+    unknown = c.decode_slice(np.array([c.unknown]), np.array([0, 1]))[0]
+    assert [got[i] for i in range(1, 4)] == ["", "", ""] and got[4] == got[5] == unknown
+    assert got[6] == c.decode_slice(np.array([400, c.unknown]), np.array([0, 2]))[0]
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
@@ -391,6 +620,61 @@ def test_base_scores_and_known_words(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_class_scores_equal_brute_force(spark, monkeypatch):
+    for name, v in (("CLUSTERED", 8), ("HEAD", 20), ("CLASSES", 4)):
+        monkeypatch.setattr(class_lm, name, v)
+    found, cluster = [], class_lm.cluster
+    monkeypatch.setattr(class_lm, "cluster", lambda *a: (lambda out: (found.append((out[0], out[1].collect(), out[2], out[3])), out)[1])(cluster(*a)))
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.randint(0, 30))) for _ in range(200)] + ["w1 never seen w2", None, ""]
+    got = {r.doc_id: r for r in class_lm.score(table(spark, texts)).collect()}
+    head, rows, _, clustered = found[0]
+    k, end = head.n_units, head.n_units + 1
+    code = dict(zip(head.keys.tolist(), head.unit.tolist(), strict=True)) | {r.h & (2**64 - 1): r.k for r in rows}
+    hash_of = lambda w: int(Words(*buffer_of(pa.array([w.decode()])), lower=True).hashes()[0])
+    known, pairs, counts, docs = {}, np.zeros((k + 2, k + 2)), collections.Counter(), 0
+    of = lambda w: known.setdefault(w, code.get(hash_of(w), k))
+    for i, t in enumerate(texts, 1):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            w, docs = lower(t), docs + 1
+            counts.update(w)
+            c = [of(x) for x in w] + [end]
+            for a, b in zip([end, *c[:-1]], c, strict=True):
+                pairs[a, b] += 1
+    assert all((of(w) < k) == (n > 1) for w, n in counts.items()) and clustered == sum(n > 1 for n in counts.values())
+    total = collections.Counter()
+    for w, n in counts.items():
+        total[of(w)] += n
+    rare = sum(of(w) == k for w in counts)
+    mass, row = pairs.sum(axis=0), pairs.sum(axis=1)
+
+    def step(a, b):
+        prior = (mass[b] + 1) / (mass.sum() + k + 2)
+        return prior if not row[a] else max(pairs[a, b] - class_lm.DISCOUNT, 0) / row[a] + class_lm.DISCOUNT * (pairs[a] > 0).sum() / row[a] * prior
+
+    def emit(w):
+        if of(w) < k:
+            return counts[w] / total[of(w)]
+        return (1 - class_lm.RARE_DISCOUNT) / total[k] if counts[w] else class_lm.RARE_DISCOUNT * rare / total[k]
+
+    for i, t in enumerate(texts, 1):
+        w = lower(t)
+        c = [of(x) for x in w] + [end]
+        want = sum(math.log10(step(a, b)) for a, b in zip([end, *c[:-1]], c, strict=True)) + sum(math.log10(emit(x)) for x in w)
+        assert math.isclose(got[i].score, want, abs_tol=1e-6), (i, t)
+    same = [r for r in got.values() if r.n_known == r.n_tokens]
+    assert sum(r.score for r in same) > sum(r.base_score for r in same)
+
+
+def test_class_model_on_known_words_of_the_drivers_documents(spark):
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("the driver's tables aren't here")
+    rows = [r for r in class_lm.score(spark.read.parquet(f"{data}/documents.parquet")).collect() if r.held_out and r.n_known == r.n_tokens]
+    assert rows and sum(r.score for r in rows) / sum(r.n_tokens for r in rows) > sum(r.base_score for r in rows) / sum(r.n_tokens for r in rows) + 0.1
+
+
 def test_class_model_is_a_distribution():
     h, c = np.arange(1, 41, dtype=np.uint64), np.sort(np.random.default_rng(1).integers(2, 50, 40))[::-1].copy()
     head = class_lm.head_of(h, c, 30)
@@ -445,6 +729,37 @@ def brute_quality(t):
     return len(w), sum(len(x.decode()) for x in w), len(re.findall(r"[#*$%&|<>]", text)), dup, len(cover), len(w) < 20 or 100 * len(cover) > 30 * len(w)
 
 
+def brute_coverage(t):
+    """(characters in repeated lines, {n: characters in repeated windows of n words}, the method's verdict)."""
+    w, text = words(t), t or ""
+    chars = [len(x.decode()) for x in w]
+    seen, lines = set(), 0
+    for line in text.split("\n"):
+        if words(line):
+            lines += sum(len(x.decode()) for x in words(line)) if line in seen else 0
+            seen.add(line)
+    windows_of = {}
+    for n in quality.WINDOW_LIMITS:
+        c = collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        windows_of[n] = sum(chars[j] for j in {j for i in range(len(w) - n + 1) if c[tuple(w[i : i + n])] > 1 for j in range(i, i + n)})
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    bad = 100 * lines > quality.LINE_LIMIT * sum(chars) or 100 * symbols > quality.SYMBOL_LIMIT * len(w) or any(100 * windows_of[n] > limit * sum(chars) for n, limit in quality.WINDOW_LIMITS.items())
+    return lines, windows_of, not bad
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    rng = random.Random(8)
+    base = [" ".join(rng.choice("abcdefghijklmnopq") + str(rng.randint(0, 60)) for _ in range(rng.randint(20, 60))) for _ in range(60)]
+    texts = EDGES + fuzz(15, 150) + base + [t + "\n" + "\n".join(t[: rng.randint(5, 40)] for _ in range(3)) for t in base] + [t.replace(" ", "# ", rng.randint(0, 9)) for t in base]
+    kept = 0
+    for r in quality.quality_report(table(spark, texts)).collect():
+        lines, in_windows, fine = brute_coverage(texts[r.doc_id - 1])
+        assert (r.dup_line_chars, {n: r[f"dup_chars_{n}"] for n in quality.WINDOW_LIMITS}) == (lines, in_windows)
+        assert r.kept == (fine and not r.base_failed)
+        kept += r.kept
+    assert 20 < kept < len(texts) - 20
+
+
 def test_quality_counts_equal_brute_force(spark):
     texts = EDGES + fuzz(5, 300) + ["a b c d e f g h i j " * 4, "line one is here\n" * 30, " ".join(f"w{i}" for i in range(100))]
     got = {r.doc_id: r for r in quality.quality_report(table(spark, texts)).collect()}
@@ -469,9 +784,14 @@ OPERATORS = {
     "pieces": lambda s, d: piece_codec.encode_and_check(d),
     "lm": lambda s, d: class_lm.score(d),
     "quality": lambda s, d: quality.quality_report(d),
+    "quality_filter": lambda s, d: quality.quality_filter(d),
+    "urls": lambda s, d: url_filter.url_verdicts(d, url_filter.default_labelled()[::9], queries.URL_RULES, "doc_id", "text"),
+    "drop_toxic": lambda s, d: toxicity.drop_toxic(d, toxicity.train(d, s.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int"))),
+    "encode": lambda s, d: piece_codec.encode(d),
+    "decode": lambda s, d: piece_codec.decode(piece_codec.encode(d)),
     "counts": lambda s, d: token_counts.token_counts(d),
 }
-PER_ROW = set(OPERATORS) - {"near", "leaks", "drop_leaks"}
+PER_ROW = set(OPERATORS) - {"near", "leaks", "drop_leaks", "quality_filter", "drop_toxic"}
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
@@ -483,31 +803,69 @@ def test_empty_tables_nulls_and_clashing_columns(spark, name):
     got = op(spark, spark.createDataFrame(rows, schema)).collect()
     if name in PER_ROW:
         assert len(got) == len(rows)
-    assert op(spark, spark.createDataFrame([(1, None), (2, None)], "doc_id long, text string")).count() == (2 if name not in ("leaks",) else 0)
+    assert op(spark, spark.createDataFrame([(1, None), (2, None)], "doc_id long, text string")).count() == (0 if name in ("leaks", "quality_filter") else 2)
 
 
-def test_registered_queries_and_pipeline(spark):
+def test_registered_queries():
     import __spark_entry__ as entry
     import corpus_pipeline
 
     names = entry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and names["pipeline"] is corpus_pipeline.run
+
+
+def brute_leaks(texts, items):
+    """Documents that hold an item of the benchmark."""
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    wanted = [({tuple(w)} if len(w) < 5 else grams(w, 5), min(5, len(w))) for w in map(alnum, items) if w]
+    out = set()
+    for d, t in texts.items():
+        w = alnum(t)
+        own = {n: grams(w, n) for n in {n for _, n in wanted}}
+        if any(len(s & own[n]) * 100 >= 80 * len(s) for s, n in wanted):
+            out.add(d)
+    return out
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    import corpus_pipeline
+    import sentencepiece
+
     data = "/root/testdata/sf0.001"
     if not os.path.isdir(data):
         pytest.skip("the driver's tables aren't here")
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    state, texts = docs, {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
-    kept = set(texts)
+    labels, bench = spark.read.parquet(f"{data}/labels.parquet"), [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    state, kept = docs, set(texts)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
-        state = stage(spark, state, data).cache()
+        before, state = state, stage(spark, state, data).cache()
         assert state.columns == docs.columns
         now = {r.doc_id for r in state.select("doc_id").collect()}
         if k == 0:
-            assert not any(brute_quality(texts[d])[-1] for d in now)
+            want = {d for d in kept if not brute_quality(texts[d])[-1] and brute_coverage(texts[d])[-1]}
+        if k == 1:  # the model's own verdicts on the stage's input; its likelihoods are held against brute force above
+            want = {r.doc_id for r in toxicity.score(before, toxicity.train(before, labels)).collect() if not r.predicted}
         if k == 2:
-            groups = brute_components([(d, texts[d]) for d in sorted(kept)], 5, 80, 100)
-            assert now == {d for d, (n, c) in groups.items() if c == d}
-        assert now <= kept
+            want = {d for d, (n, c) in brute_components([(d, texts[d]) for d in sorted(kept)], 5, 80, 100).items() if c == d}
+        if k == 3:
+            want = kept - brute_leaks({d: texts[d] for d in kept}, bench)
+        assert now == want
         kept = now
-    out = corpus_pipeline.run(spark, data).collect()
-    assert {r.doc_id for r in out} == kept and all(r.round_trip for r in out)
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, data).collect()}
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    assert set(out) == kept and all(r.round_trip and list(r.piece_ids) == lib.encode(texts[d] or "") for d, r in out.items())
+
+
+def test_pipeline_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, id long, n long, label string, score double, key long, h long, w string"
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, long, 1, 2, "x", 0.5, 3, 4, "w"), (2, long, 1, 2, "x", 0.5, 3, 4, "w"), (3, long.replace("1", "one"), 1, 2, "x", 0.5, 3, 4, "w"), (4, None, 1, 2, "x", 0.5, 3, 4, "w"), (5, "", None, None, None, None, None, None, None)]
+    for name, some in (("full", rows), ("empty", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 0), (3, 1)] if some else [], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "not in any text of these")] if some else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        assert sorted(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == ([1, 3] if some else [])

@@ -92,10 +92,27 @@ def give_back() -> None:
         pass
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn on every Arrow batch of df."""
+_kept: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    """What a worker process keeps for one kind of work (models, caches); arrow_map() drops the other kinds at a task's start, for workers live through all stages."""
+    return _kept.setdefault(kind, {})
+
+
+def keep_only(kind: str | None) -> None:
+    others = [k for k in _kept if k != kind]
+    for k in others:
+        del _kept[k]
+    if others:
+        give_back()
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str, keep: str | None = None) -> DataFrame:
+    """fn on every Arrow batch of df. keep: the kind of kept() that fn uses."""
 
     def run(batches):
+        keep_only(keep)
         for b in batches:
             out = fn(b)
             if isinstance(out, pa.RecordBatch):
@@ -108,4 +125,4 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-__all__ = ["arrow_map", "by_ids", "give_back", "hot_join", "materialize", "most_frequent", "release", "shared_dir", "table", "whole_number_ids"]
+__all__ = ["arrow_map", "by_ids", "give_back", "hot_join", "keep_only", "kept", "materialize", "most_frequent", "release", "shared_dir", "table", "whole_number_ids"]

@@ -24,14 +24,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import arrow_map
+from weftline.llm.common import arrow_map, give_back, kept
 from weftline.llm.pieces import MARK, IdCache, hash_spans, marked_words, piece_model, tokenizer_path
 from weftline.llm.spans import slices
 
-PAIRS = 250_000
+PAIRS, WORDS = 60_000, 250_000
 #: Stands for a null id.
 NOTHING = np.iinfo(np.int64).min
-_coders: dict[str, "PieceCoder"] = {}
 
 
 class PieceCoder:
@@ -40,14 +39,12 @@ class PieceCoder:
     def __init__(self, path: str, unigram: bool | None = None):
         self.score, self.ids, self.byte, kind, self.unknown = piece_model(path)
         self.unigram = kind == 1 if unigram is None else unigram
-        # each piece's score, and each string that a longer piece begins with: (score or None, whether it goes on)
-        fronts = {p[:k] for p in self.score for k in range(1, len(p))}
-        self.known = {x: (self.score.get(x), x in fronts) for x in fronts | self.score.keys()}
+        self.fronts = {p[:k] for p in self.score for k in range(1, len(p))}  # each string that a longer piece begins with
         self.floor = min(self.score.values()) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
         self.strings = {i: p for p, i in self.ids.items()}
         self.bytes_of = {i: b for b, i in self.byte.items()}
-        self.cache = IdCache(self._encode_bytes)
+        self.cache = IdCache(self._encode_bytes, limit=WORDS)
 
     # encoding
 
@@ -77,9 +74,9 @@ class PieceCoder:
         best, live = None, []
         for i in (*states[j - 1][3], j - 1):
             piece = word[i:j]
-            s, longer = self.known.get(piece, (None, False))
-            if longer:
+            if piece in self.fronts:
                 live.append(i)
+            s = self.score.get(piece)
             if s is None:
                 if i < j - 1:
                     continue
@@ -158,9 +155,11 @@ class PieceCoder:
 
 def coder(path: str) -> PieceCoder:
     """One to a worker process and file."""
-    if path not in _coders:
-        _coders[path] = PieceCoder(path)
-    return _coders[path]
+    own = kept("pieces")
+    if path not in own:
+        own[path] = PieceCoder(path)
+        give_back()  # what reading the file took
+    return own[path]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", path: str | None = None) -> DataFrame:
@@ -173,7 +172,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=[id_col, "piece_ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, piece_ids array<int>")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, piece_ids array<int>", "pieces")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "piece_ids", model: str = "piece_bpe_32k.model", path: str | None = None) -> DataFrame:
@@ -189,7 +188,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "piece_ids
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c.decode_slice(ids, np.concatenate(([0], np.cumsum(size)))), pa.string())], names=[id_col, "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return arrow_map(encoded.select(id_col, ids_col), run, f"`{id_col}` {kind}, text string")
+    return arrow_map(encoded.select(id_col, ids_col), run, f"`{id_col}` {kind}, text string", "pieces")
 
 
 def encode_and_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", path: str | None = None) -> DataFrame:
@@ -204,5 +203,5 @@ def encode_and_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(same)], names=[id_col, "n_pieces", "piece_ids", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_pieces long, piece_ids array<int>, round_trip boolean")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_pieces long, piece_ids array<int>, round_trip boolean", "pieces")
 

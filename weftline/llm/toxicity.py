@@ -7,9 +7,9 @@ counts the class's own words and all lower orders are continuation counts shared
 back to the same evidence in both models, and only its known part speaks for a class. Counting different predecessors, less
 WORD_DISCOUNT, keeps words of copied passages from being evidence.
 
-A text's features are the toxic less the ordinary log-likelihood per word, over the whole text and over its TOP highest words (each word's
-ratio counts up to CAP, so that one accident isn't enough), and the log of its words. A logistic curve turns them into a score; it is
-fitted on features of rows that the models in use haven't seen (FOLDS folds).
+A text's features are the toxic less the ordinary log-likelihood per word, over the whole text and over its highest words, and the log of
+its words. The highest words count twice: as they are (up to MOST), and up to CAP each, where one accident isn't enough. A logistic curve
+turns the features into a score; it is fitted on rows that the models in use haven't seen (FOLDS folds).
 
 Training reads a bounded sample: at most SAMPLE labelled ids of each class, one text each, taken in the order of a hash of the id.
 Model size follows the sample, not the corpus, and is broadcast (some 10 MB); pairs seen in one document only aren't listed, since
@@ -31,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import arrow_map, materialize, release
+from weftline.llm.common import arrow_map, give_back, kept, materialize, release
 from weftline.llm.spans import BYTE_TABLE, U64, Words, in_doc, mix, slices
 
 ORDER, DISCOUNT, WORD_DISCOUNT = 5, 0.95, 1.9
-CAP, TOP = 7.0, 5
+#: Features of the highest words: (how many, what one counts at most).
+MOST, CAP = 30.0, 6.0
+HIGHEST = ((3, MOST), (3, CAP), (8, CAP))
+N_FEATURES = 2 + len(HIGHEST)
 SAMPLE, FOLDS = 2000, 3
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
 START, END = 0, 1
 #: Stands before a text's first word.
 BORDER = U64(0)
@@ -105,7 +108,7 @@ class Model:
     pairs: list[tuple[Table, Table]] = field(default_factory=list)
     after: list[Table] = field(default_factory=list)
     listed: np.ndarray = field(default_factory=lambda: np.empty(0, U64))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES + 1))
     constant: float | None = None
 
     def lower(self, text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -134,6 +137,12 @@ class Model:
             return np.empty((2, 0))
         return np.stack([np.log(own.get(h, 0.0) + left * np.exp(spelled)) for spelled, (own, left) in zip(self.spelled(words), self.own, strict=True)])
 
+    def halve(self) -> None:
+        """Single precision for what travels: half the memory of every worker."""
+        tables = {id(t): t for group in (self.shared, self.top, self.pairs) for pair in group for t in pair} | {id(t): t for t in [*self.after, *(t for t, _ in self.own)]}
+        for t in tables.values():
+            t.values = t.values.astype(np.float32)
+
     def left_of(self, h: np.ndarray) -> np.ndarray:
         """(classes, words): log of what each word, as a predecessor, leaves to the lower order."""
         return np.log(np.stack([contexts.get(h, 1.0) for _, contexts in self.pairs]))
@@ -161,12 +170,13 @@ def fit(words: list[bytes], h: np.ndarray, counts: np.ndarray, pairs: tuple[np.n
     gram, context = _grams(text, at, ORDER)
     distinct, first, which = np.unique(gram, return_index=True, return_inverse=True)
     by = np.argsort(h)
+    h = h[by]
     for k in (0, 1):
         n = np.bincount(which, weights=np.repeat(counts[k], size).astype(float), minlength=len(distinct))
         some = n > 0
         model.top.append(_estimate(distinct[some], context[first][some], n[some], low[first][some]) if some.any() else (Table(distinct[:0], n[:0]), Table(distinct[:0], n[:0])))
         total = max(1.0, float(counts[k].sum()))
-        model.own.append((Table(h[by], np.maximum(counts[k] - WORD_DISCOUNT, 0)[by] / total), float(np.minimum(counts[k], WORD_DISCOUNT).sum()) / total if counts[k].any() else 1.0))
+        model.own.append((Table(h, np.maximum(counts[k] - WORD_DISCOUNT, 0)[by] / total), float(np.minimum(counts[k], WORD_DISCOUNT).sum()) / total if counts[k].any() else 1.0))
         after, kinds = befores[1][k], befores[2][k]
         model.pairs.append((Table(pairs[0], np.maximum(pairs[1][k] - DISCOUNT, 0)), Table(befores[0], np.where(after > 0, DISCOUNT * kinds / np.maximum(after, 1), 1.0))))
         model.after.append(Table(befores[0], np.maximum(after, 1).astype(float)))
@@ -232,18 +242,20 @@ def predecessors(w: Words, h: np.ndarray) -> np.ndarray:
 
 
 def features(scores: WordScores, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(documents, 3): log-likelihood ratio per word of the whole text, and of its TOP highest words; log of the words."""
+    """(documents, N_FEATURES): log-likelihood ratio per word of the whole text, and of its highest words by HIGHEST; log of the words."""
     w = Words(raw, offs, lower=True)
     n = w.count
-    out = np.zeros((len(n), 3))
+    out = np.zeros((len(n), N_FEATURES))
     if not len(w.start):
         return out
-    value, doc = np.minimum(word_ratios(scores, w), CAP), w.doc_of_word()
-    high = np.lexsort((-value, doc))
-    first = np.arange(len(value)) - np.repeat(w.at[:-1], n) < TOP
+    value, doc = np.minimum(word_ratios(scores, w), MOST), w.doc_of_word()
     out[:, 0] = np.bincount(doc, weights=value, minlength=len(n)) / np.maximum(n, 1)
-    out[:, 1] = np.bincount(doc[first], weights=value[high][first], minlength=len(n)) / TOP
-    out[:, 2] = np.log(np.maximum(n, 1))
+    high = np.maximum(value[np.lexsort((-value, doc))], 0)
+    rank = np.arange(len(value)) - np.repeat(w.at[:-1], n)
+    for k, (top, most) in enumerate(HIGHEST):
+        first = rank < top
+        out[:, 1 + k] = np.bincount(doc[first], weights=np.minimum(high[first], most), minlength=len(n)) / top
+    out[:, -1] = np.log(np.maximum(n, 1))
     return out
 
 
@@ -337,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         use = h[at] == hashes
         return fit([w for w, u in zip(strings, use.tolist(), strict=True) if u], hashes[use], counts[:, at[use]], sort(pair, listed, "ab"), sort(*before, ("na", "nb"), ("ka", "kb")))
 
-    xs, ys = [], []
+    xs, ys, names = [], [], [f"x{k}" for k in range(N_FEATURES)]
     for out in range(FOLDS):
         shared = spark.sparkContext.broadcast(model_without(out))
 
@@ -345,27 +357,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             scores = WordScores(shared.value)
             for lo, hi, raw, offs in slices(batch.column(0)):
                 x = features(scores, raw, offs)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), batch.column(1).slice(lo, hi - lo)], names=["a", "b", "c", "y"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(N_FEATURES)), batch.column(1).slice(lo, hi - lo)], names=[*names, "y"])
 
-        got = arrow_map(rows.where(F.floor(F.col("_kind") / 2) == out).select("_text", "_y"), measure, "a double, b double, c double, y long").toArrow()  # rows of the sample
-        xs.append(np.column_stack([got[k].to_numpy() for k in "abc"]))
+        got = arrow_map(rows.where(F.floor(F.col("_kind") / 2) == out).select("_text", "_y"), measure, ", ".join(f"{k} double" for k in names) + ", y long").toArrow()  # rows of the sample
+        xs.append(np.column_stack([got[k].to_numpy() for k in names]))
         ys.append(got["y"].to_numpy())
-        shared.unpersist()
+        shared.destroy()  # the driver's copy goes too: one model is held at a time
+        del shared, measure
+        give_back()
     model = model_without(-1)
     model.weights = fit_curve(np.concatenate(xs), np.concatenate(ys), prior)
+    model.halve()
+    give_back()
     release(ids, rows, pairs)
     return model
 
 
-_scorers: dict[int, WordScores] = {}
-
-
 def _scorer(shared) -> WordScores:
     """One to a worker process and broadcast model."""
-    if not any(s.model is shared.value for s in _scorers.values()):
-        _scorers.clear()
-        _scorers[id(shared.value)] = WordScores(shared.value)
-    return next(iter(_scorers.values()))
+    own = kept("toxicity")
+    if "scorer" not in own or own["scorer"].model is not shared.value:
+        own["scorer"] = WordScores(shared.value)
+    return own["scorer"]
 
 
 def _scores(shared, column: pa.Array) -> np.ndarray:
@@ -384,13 +397,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), text_col), run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return arrow_map(docs.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), text_col), run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int", "toxicity")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The input's rows, all columns, whose score stays below the threshold."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
-    return arrow_map(docs, lambda batch: batch.filter(pa.array(_scores(shared, batch.column(at)) < threshold)), docs.schema)
+    return arrow_map(docs, lambda batch: batch.filter(pa.array(_scores(shared, batch.column(at)) < threshold)), docs.schema, "toxicity")
 
 
 __all__ = ["Model", "drop_toxic", "fit", "held_out", "score", "train"]
