@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), where docs is what its predecessor kept
 The first four return rows of docs unchanged; the last returns the pieces of each. run() writes each stage's rows as Parquet to the
 shared folder of spark.checkpoint.dir and reads them again, so that no stage is computed twice or lost with an executor.
 
-ORACLE_SQL is None: the toxicity model and the encoding aren't SQL. The tests hold run() against the stages' brute-force versions.
+ORACLE_SQL is None: the toxicity model and the encoding aren't SQL. The tests hold each stage against a brute-force version on that stage's
+input (toxicity against its model's scores, whose likelihoods have a brute-force version of their own), and the encoding against the library.
 """
 
 from __future__ import annotations
@@ -54,10 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over the table documents."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
-        if before is not None:
-            release(before)
-        before = docs
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        release(before)  # the table itself isn't a scratch table and stays
     return STAGES[-1][1](spark, docs, sf_dir)
