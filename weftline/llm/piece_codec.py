@@ -28,7 +28,7 @@ from weftline.llm.common import arrow_map, give_back, kept
 from weftline.llm.pieces import MARK, IdCache, hash_spans, marked_words, piece_model, tokenizer_path
 from weftline.llm.spans import slices
 
-PAIRS, WORDS = 60_000, 250_000
+PAIRS, WORDS = 250_000, 600_000
 #: Stands for a null id.
 NOTHING = np.iinfo(np.int64).min
 
@@ -41,7 +41,7 @@ class PieceCoder:
         self.unigram = kind == 1 if unigram is None else unigram
         self.fronts = {p[:k] for p in self.score for k in range(1, len(p))}  # each string that a longer piece begins with
         self.floor = min(self.score.values()) - 10.0
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int | tuple[str, str], bool] = {}
         self.strings = {i: p for p, i in self.ids.items()}
         self.bytes_of = {i: b for b, i in self.byte.items()}
         self.cache = IdCache(self._encode_bytes, limit=WORDS)
@@ -62,11 +62,13 @@ class PieceCoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def open_arc(self, a: str, b: str) -> bool:
-        got = self.pairs.get((a, b))
+        x, y = self.ids.get(a), self.ids.get(b)
+        key = (a, b) if x is None or y is None else x << 24 | y  # a number takes a third of the memory
+        got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self.merge(a + b) == [a, b]
+            got = self.pairs[key] = self.merge(a + b) == [a, b]
         return got
 
     def extend(self, word: str, j: int, states: list) -> tuple[float, str, int, list[int]]:
